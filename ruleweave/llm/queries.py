@@ -12,6 +12,7 @@ from .language_id import identify
 from .mixing import with_copies
 from .near_dedup import near_duplicates
 from .sharding import shard
+from .token_counts import token_counts
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = with_copies(docs)
@@ -33,6 +38,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 from .language_id import identify
 from .mixing import with_copies
 from .near_dedup import near_duplicates
+from .quality_rules import quality_rules
 from .sharding import shard
 from .token_counts import token_counts
+from .warc import read_archives, write_archives
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +26,25 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ruleweave/archives-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), path)
+    records = read_archives(spark, path, payload=False).where("gap is null")
+
+    def page(urn: str):
+        return F.nullif(F.regexp_extract(urn, r"^<urn:page:(.*)>$", 1), F.lit("null")).cast("long")
+
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = with_copies(docs)
@@ -38,7 +56,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,

@@ -3,16 +3,19 @@
 Every document is posted under each (coordinate, value) pair of its signature.
 A pair of documents whose sets have Jaccard similarity s agrees in Binomial(K, s)
 coordinates, so those that agree in fewer than ``matches`` of K are left out (with
-K = 64, matches = 28 and s = 0.75 a link is missed with a chance below 1e-7).
+K = 64, matches = 32 and s = 0.75 a link is missed with a chance of 4 in a million).
 Collisions are counted by prefix and skip merging: a document's postings are put
 in order of their frequency, postings that occur once are skipped, documents left
 with fewer than ``matches`` postings are skipped, and two documents that agree in
 ``matches`` of them must meet in the prefixes of length n - matches + 1.
 
-Posting lists may be very long, so pairs are not made within a list. First each
-document is compared with the smallest member of its lists (one comparison a
-document), the links found are contracted to components, and only lists whose
-members are in more than one component give further pairs, across components.
+Posting lists may be very long, so pairs are not made within a list at first. In
+rounds, each list draws a few leaders, each document is compared with the leader
+that it meets most often (one comparison a document and round), and the links found
+are contracted to components. What the rounds leave is compared in full, so that no
+link is lost: documents that meet the same leader most often are a neighbourhood,
+whose pairs are taken block by block; and lists whose members are in more than one
+component and neighbourhood give their pairs across both.
 Every link is confirmed on the documents' full shingle sets.
 """
 
@@ -30,12 +33,17 @@ from pyspark.sql.window import Window
 from .common import components, python_ready, saved
 
 COORDINATES = 64
-MATCHES = 28
+MATCHES = 32
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Members of one leader that are compared in one run of rows.
 CHUNK = 256
+#: Rounds in which documents are compared with leaders of their lists, and leaders drawn in each list and round.
+ROUNDS = 4
+LEADERS = 3
+#: Documents of a neighbourhood in one side of a block.
+BLOCK = 512
 
 _MULTIPLIERS = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -143,8 +151,63 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return rows.mapInArrow(_compared(size, percent), "u long, v long")
 
 
+def _all_pairs(size: int, percent: int):
+    """Rows come by hood and block: the links of a block's documents across components, one for each document and component."""
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def links(ids: list[int], comps: list[int], sides: list[int], sets: list[np.ndarray], same: bool) -> pa.RecordBatch:
+        doc, comp, n = np.array(ids), np.array(comps), np.array([len(s) for s in sets])
+        left, right = np.arange(len(doc)), np.arange(len(doc))
+        if not same:
+            left, right = np.flatnonzero(np.array(sides) == 0), np.flatnonzero(np.array(sides) == 1)
+        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(doc)), n)
+        keep = times[at] > 1  # a shingle of one document is in no intersection
+        _, at = np.unique(at[keep], return_inverse=True)
+        of = of[keep]
+        order = np.argsort(at, kind="stable")
+        at, of = at[order], of[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        row, wide = np.full(len(doc), -1), at[-1] + 1 if len(at) else 0
+        for low in range(0, wide, 8192):  # intersections, by slices of the shingles
+            i, j = np.searchsorted(at, [low, low + 8192])
+            m = np.zeros((len(doc), min(8192, wide - low)), np.float32)
+            m[of[i:j], at[i:j] - low] = 1
+            both += m[left] @ m[right].T
+        union = n[left][:, None] + n[right][None, :] - both
+        hit = (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :])
+        x, y = np.nonzero(hit)
+        found = {(int(doc[left[i]]), int(comp[right[j]])): int(doc[right[j]]) for i, j in zip(x, y, strict=True)}
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64())], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, now, held = _WordHashes(), None, ([], [], [], [])
+        for batch in batches:
+            for hood, low, high, side, doc, comp, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (hood, low, high) != now:
+                    if len(held[0]) > 1:
+                        yield links(*held, now[1] == now[2])
+                    now, held = (hood, low, high), ([], [], [], [])
+                for to, x in zip(held, (doc, comp, side, shingle_set(text, hashes, size)), strict=True):
+                    to.append(x)
+        if len(held[0]) > 1:
+            yield links(*held, now[1] == now[2])
+
+    return run
+
+
+def _hood_links(hoods: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) within hoods of (rep, comp, hood, parts): each pair of a hood's parts is a block."""
+    rows = hoods.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.select("hood", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("hood", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.col("rep").alias("doc_id"), "comp")
+    rows = rows.join(texts, "doc_id").select("hood", "low", "high", "side", "doc_id", "comp", "text")
+    rows = rows.repartition("hood", "low", "high").sortWithinPartitions("hood", "low", "high")
+    return rows.mapInArrow(_all_pairs(size, percent), "u long, v long")
+
+
 def near_duplicates(
-    docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, size: int = SHINGLE_WORDS, percent: int = PERCENT
+    docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, size: int = SHINGLE_WORDS, percent: int = PERCENT, rounds: int = ROUNDS
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept.
 
@@ -175,28 +238,55 @@ def near_duplicates(
     texts = docs.join(prefixes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = saved(texts, "texts")
 
-    # each document against the leader that it meets in most lists
-    heads = prefixes.groupBy("token").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").drop("last")
-    met = prefixes.join(heads, "token").where("rep != v").groupBy(F.col("rep").alias("u"), "v").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("u").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("u", (-F.col("x.col2")).alias("v"))
-    first = saved(_links(best, texts, size, percent), "links")
-
-    # lists that still hold more than one component, pairs across components
-    label = components(first)
-    placed = prefixes.join(label, prefixes.rep == label.node, "left").select("token", "rep", F.coalesce("label", "rep").alias("comp"))
-    placed = saved(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    left = saved(placed.join(mixed, "token"), "mixed")
-    other = left.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-    pairs = left.join(other, "token").where("comp < comp2").select(F.col("rep").alias("v"), F.col("rep2").alias("u")).distinct()
+    # rounds: each document against a leader that it meets in most lists; what links is contracted
+    links: DataFrame | None = None
+    placed = saved(prefixes.select("token", "rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("members")), "placed")
+    for turn in range(rounds):
+        order = [F.struct(F.xxhash64("rep", F.lit(turn * LEADERS + i)).alias("h"), "rep", "comp", "members") for i in range(LEADERS)]
+        heads = placed.groupBy("token").agg(F.array(*[F.min(x) for x in order]).alias("heads"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        heads = heads.where("a < b").select("token", F.expr("array_distinct(transform(heads, x -> struct(x.rep as v, x.comp as vc, x.members as vm)))").alias("heads"))
+        met = placed.join(heads, "token").select("rep", "comp", "members", F.explode("heads").alias("x")).where("comp != x.vc")
+        # of two components the smaller one's members look for a leader in the other
+        met = met.where("members < x.vm or (members = x.vm and comp > x.vc)").groupBy(F.col("rep").alias("u"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        best = met.groupBy("u").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("u", (-F.col("x.col2")).alias("v"))
+        found = saved(_links(best, texts, size, percent), "links")
+        new, old = found.count(), 0 if links is None else links.count()
+        if not new:
+            break
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+        label = saved(label.join(sizes, "label").select("node", "label", "members"), "labels")
+        placed = prefixes.join(label, prefixes.rep == label.node, "left")
+        placed = saved(placed.select("token", "rep", F.coalesce("label", "rep").alias("comp"), F.coalesce("members", F.lit(1)).alias("members")), "placed")
+        if new * 10 < old:
+            break
+
+    # neighbourhoods: documents by the leader that they meet most often; all their pairs, block by block
+    heads = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit("hood")).alias("h"), "rep")).alias("x")).select("token", F.col("x.rep").alias("v"))
+    met = placed.join(heads, "token").groupBy("rep", "comp", "v").agg(F.count(F.lit(1)).alias("n"))
+    hood = met.groupBy("rep", "comp").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("rep", "comp", (-F.col("x.col2")).alias("hood"))
+    hood = saved(hood, "hoods")
+    open_hoods = hood.groupBy("hood").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("a < b")
+    within = saved(_hood_links(hood.join(open_hoods.select("hood", "parts"), "hood"), texts, size, percent), "links")
+
+    # lists that hold more than one neighbourhood and component: every pair across both that agrees often enough
+    listed = placed.select("token", "rep").join(hood, "rep")
+    mixed = listed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("hood").alias("c"), F.max("hood").alias("d"))
+    left = saved(listed.join(mixed.where("a < b and c < d").select("token"), "token"), "mixed")
+    parts = saved(left.select("token", "hood").distinct(), "parts")
+    across = parts.join(parts.select("token", F.col("hood").alias("hood2")), "token").where("hood < hood2")
+    other = left.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("hood").alias("hood2"))
+    pairs = across.join(left, ["token", "hood"]).join(other, ["token", "hood2"]).where("comp != comp2")
+    pairs = pairs.select(F.least("rep", "rep2").alias("v"), F.greatest("rep", "rep2").alias("u")).distinct()
     sigs = classes.select("rep", "sig")
     pairs = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("s1")), "u")
     pairs = pairs.join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("s2")), "v")
     agree = F.aggregate(F.zip_with("s1", "s2", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     pairs = saved(pairs.where(agree >= matches).select("u", "v").distinct(), "pairs")
-    second = _links(pairs, texts, size, percent)
+    last = within.unionByName(_links(pairs, texts, size, percent))
 
-    edges = first.unionByName(second)
+    edges = last if links is None else links.unionByName(last)
     # classes whose sets are equal, and rows that repeat a doc_id, meet at that doc_id
     same = real.join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v")
     final = components(edges.unionByName(same))

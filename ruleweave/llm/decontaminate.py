@@ -33,7 +33,7 @@ LEAST_WORDS = 5
 BLOCK_WORDS = 200_000
 REPETITIONS = 5
 STEPS = 12
-SAMPLES = 4
+SAMPLES = 6
 #: Words of documents that are walked at once.
 _AT_ONCE = 1_000_000
 
@@ -67,17 +67,21 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         hashes = _Hashes()
         self.items = [(i, w) for i, text in items if len(w := word_hashes(text, hashes)) >= LEAST_WORDS]
+        self.lists = [w.tolist() for _, w in self.items]
         self.steps = sampled_steps()
         self.first = np.zeros(1 << _TABLE_BITS, bool)
         self.tables: list[list[np.ndarray]] = []
         self.found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]] = []
+        # walks that rest on one word sample little: of each item's walks the two fifths that sample most words are kept
+        walks = [[(o, r, *self._keys(w, o, r)) for o in range(len(w)) for r in range(REPETITIONS)] for _, w in self.items]
+        least = [sorted((x[3] for x in of), reverse=True)[2 * len(of) // 5] for of in walks]
         for r, steps in enumerate(self.steps):
             levels: list[dict[int, list[tuple[int, int]]]] = [{} for _ in steps]
             passed: list[set[int]] = [set() for _ in steps]
-            for k, (_, w) in enumerate(self.items):
-                runs = [self._keys(w, o, r) for o in range(len(w))]
-                most = max(map(len, runs))
-                for o, keys in enumerate(runs):
+            for k, of in enumerate(walks):
+                mine = [(o, keys) for o, at, keys, places in of if at == r and places >= least[k]]
+                most = max((len(keys) for _, keys in mine), default=0)
+                for o, keys in mine:
                     if len(keys) == most:
                         levels[most - 1].setdefault(keys[-1], []).append((k, o))
                         for level, key in enumerate(keys):
@@ -98,17 +102,18 @@ class ItemIndex:
             self.tables.append(tables)
             self.found.append(found)
 
-    def _keys(self, w: np.ndarray, at: int, r: int) -> list[int]:
-        """The hash after each sampled step that the walk from ``at`` reaches within the item."""
-        steps, keys, key = self.steps[r], [], 0
+    def _keys(self, w: np.ndarray, at: int, r: int) -> tuple[list[int], int]:
+        """The hash after each sampled step that the walk from ``at`` reaches within the item, and how many places are sampled."""
+        steps, keys, key, places = self.steps[r], [], 0, set()
         for j in range(steps[-1] + 1):
             if at >= len(w):
                 break
             if j in steps:
                 key = (key * int(_TIMES) + int(w[at])) % 2**64
                 keys.append(key)
+                places.add(at)
             at += int(w[at]) >> (r * STEPS + j) & 1
-        return keys
+        return keys, len(places)
 
     def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in ``h`` (which ends in padding of at least ``STEPS`` words) with items and the items' offsets."""
@@ -154,6 +159,7 @@ def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def _verified(index: ItemIndex, doc: np.ndarray, places: np.ndarray, items: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
     """(item id, item words, edits, end word) of the items that the document holds, the best window of each."""
     best: dict[int, tuple[int, int]] = {}
+    words = doc.tolist()
     tried: set[tuple[int, int]] = set()
     for place, k, offset in zip(places.tolist(), items.tolist(), offsets.tolist(), strict=True):
         item = index.items[k][1]
@@ -165,10 +171,11 @@ def _verified(index: ItemIndex, doc: np.ndarray, places: np.ndarray, items: np.n
             continue
         tried.add((k, cell))
         low = max(0, cell * (most + 1) - most)
-        window = doc[low : cell * (most + 1) + most + len(item) + most + 1]
-        if np.isin(item, window).sum() < len(item) - most:
+        high = cell * (most + 1) + most + len(item) + most + 1
+        near = set(words[low:high])
+        if sum(w in near for w in index.lists[k]) < len(item) - most:  # each word that is missing costs an edit
             continue
-        edits, end = best_window(item, window)
+        edits, end = best_window(item, doc[low:high])
         if edits <= most and (k not in best or (edits, low + end) < best[k]):
             best[k] = (edits, low + end)
     return [(index.items[k][0], len(index.items[k][1]), edits, end) for k, (edits, end) in sorted(best.items())]

@@ -14,6 +14,7 @@ from .language_id import identify
 from .mixing import with_copies
 from .near_dedup import near_duplicates
 from .pii import personal_data
+from .quality_classifier import quality
 from .quality_rules import quality_rules
 from .sharding import shard
 from .token_counts import token_counts
@@ -55,6 +56,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = with_copies(docs)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,

@@ -22,6 +22,7 @@ Every link is confirmed on the documents' full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ CHUNK = 256
 #: Rounds in which documents are compared with leaders of their lists, and leaders drawn in each list and round.
 ROUNDS = 4
 LEADERS = 3
+#: Turns in which neighbourhoods are drawn.
+HOODS = 4
 #: Documents of a neighbourhood in one side of a block.
 BLOCK = 512
 
@@ -262,23 +265,30 @@ def near_duplicates(
         if new * 10 < old:
             break
 
-    # neighbourhoods: documents by the leader that they meet most often; all their pairs, block by block
-    heads = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit("hood")).alias("h"), "rep")).alias("x")).select("token", F.col("x.rep").alias("v"))
-    met = placed.join(heads, "token").groupBy("rep", "comp", "v").agg(F.count(F.lit(1)).alias("n"))
-    hood = met.groupBy("rep", "comp").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("rep", "comp", (-F.col("x.col2")).alias("hood"))
-    hood = saved(hood, "hoods")
-    open_hoods = hood.groupBy("hood").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("a < b")
-    within = saved(_hood_links(hood.join(open_hoods.select("hood", "parts"), "hood"), texts, size, percent), "links")
-
-    # lists that hold more than one neighbourhood and component: every pair across both that agrees often enough
-    listed = placed.select("token", "rep").join(hood, "rep")
-    mixed = listed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("hood").alias("c"), F.max("hood").alias("d"))
-    left = saved(listed.join(mixed.where("a < b and c < d").select("token"), "token"), "mixed")
-    parts = saved(left.select("token", "hood").distinct(), "parts")
-    across = parts.join(parts.select("token", F.col("hood").alias("hood2")), "token").where("hood < hood2")
-    other = left.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("hood").alias("hood2"))
-    pairs = across.join(left, ["token", "hood"]).join(other, ["token", "hood2"]).where("comp != comp2")
-    pairs = pairs.select(F.least("rep", "rep2").alias("v"), F.greatest("rep", "rep2").alias("u")).distinct()
+    # neighbourhoods: documents by the leader that they meet most often; all their pairs, block by block.
+    # Each turn draws other leaders, so that few near pairs are never in one neighbourhood.
+    left, within = placed.select("token", "rep", "comp"), None
+    for turn in range(HOODS):
+        heads = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(f"hood {turn}")).alias("h"), "rep")).alias("x")).select("token", F.col("x.rep").alias("v"))
+        met = left.join(heads, "token").groupBy("rep", "comp", "v").agg(F.count(F.lit(1)).alias("n"))
+        hood = met.groupBy("rep", "comp").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("rep", "comp", (-F.col("x.col2")).alias("hood"))
+        hood = saved(hood, "hoods")
+        open_hoods = hood.groupBy("hood").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("a < b")
+        found = saved(_hood_links(hood.join(open_hoods.select("hood", "parts"), "hood"), texts, size, percent), "links")
+        within = found if within is None else within.unionByName(found)
+        left = left.join(hood.select("rep", F.col("hood").alias(f"hood{turn}")), "rep")
+        several = [F.min(x) < F.max(x) for x in ["comp", *[f"hood{i}" for i in range(turn + 1)]]]
+        mixed = left.groupBy("token").agg(reduce(lambda a, b: a & b, several).alias("mixed")).where("mixed").select("token")
+        left = saved(left.join(mixed, "token"), "mixed")
+
+    # lists that still hold more than one of each: every pair that was in no neighbourhood and agrees often enough
+    hoods = [f"hood{i}" for i in range(HOODS)]
+    parts = saved(left.select("token", "hood0").distinct(), "parts")
+    across = parts.join(parts.select("token", F.col("hood0").alias("hood0_")), "token").where("hood0 < hood0_")
+    other = left.select("token", *[F.col(x).alias(x + "_") for x in ("rep", "comp", *hoods)])
+    apart = " and ".join(f"{x} != {x}_" for x in ("comp", *hoods[1:]))
+    pairs = across.join(left, ["token", "hood0"]).join(other, ["token", "hood0_"]).where(apart)
+    pairs = pairs.select(F.least("rep", "rep_").alias("v"), F.greatest("rep", "rep_").alias("u")).distinct()
     sigs = classes.select("rep", "sig")
     pairs = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("s1")), "u")
     pairs = pairs.join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("s2")), "v")

@@ -58,8 +58,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return ranked.select("source", "source_size", F.when(F.col("stop") < F.col("weight") * level, F.col("stop")).otherwise(shared).alias("target"))
 
 
-def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """Rows (row, size, source_size, target, copies): ``row`` is the whole input row, ``copies`` how often the mix emits it.
+def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """Rows (row, size, source_size, target, copies): ``row`` is the input row (its columns ``carry``), ``copies`` how often the mix emits it.
+
+    Words are counted once: the rows are written with their sizes before they are ranked.
 
     A null text has no words; a null source is a source of its own, last in
     order. A source without words has target 0 and no copies. A null doc_id is
@@ -67,9 +69,9 @@ def with_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: fl
     table gives an empty result. Columns of any name pass through inside ``row``.
     """
     size = word_count(text_or_empty())
-    narrow = docs.select(F.col("source").alias("source"), size.alias("size"))
-    targets = source_targets(narrow, weights, share, most)
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("id"), size.alias("size"))
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("id"), size.alias("size"))
+    rows = saved(rows, "sized")
+    targets = source_targets(rows.select("source", "size"), weights, share, most)
     digits = F.length(F.col("size").cast("string"))
     lead = digits * 100 + F.rpad(F.substring(F.col("size").cast("string"), 1, 2), 2, "0").cast("int")
     salt = _by_hash(F.coalesce(F.col("id").cast("string"), F.lit("")), 2)

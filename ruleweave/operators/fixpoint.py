@@ -158,6 +158,8 @@ class Fixpoint:
                 facts = saved(facts, "delta")
                 if not facts.isEmpty():
                     delta[p] = facts
+                elif known is None:
+                    self.relations.add(p, facts)  # its columns are known from here on
             for p, facts in delta.items():
                 self.relations.add(p, facts)
                 self.derived.setdefault(p, []).append(facts)

@@ -123,7 +123,10 @@ class Fixpoint:
 
         That holds for monotone programs; one with negation is run from its facts.
         """
-        for stratum in strata(rules):
+        order = strata(rules)
+        if self.hooks and not any(r.negative for r in rules):
+            order = [list(rules)]  # a hook may write what any rule reads
+        for stratum in order:
             new = self._stratum(stratum, dict(new) if new is not None else None)
             if self.reached:
                 break

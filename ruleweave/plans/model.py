@@ -121,7 +121,7 @@ class Rule:
     @property
     def invented(self) -> tuple[str, ...]:
         """Head variables that the body does not have: each match of the body makes a new node."""
-        bound = {v for a in self.positive for v in a.vars}
+        bound = {v for a in self.positive or self.negative for v in a.vars}
         return tuple(dict.fromkeys(v for h in self.heads for v in h.vars if v not in bound))
 
 
@@ -144,7 +144,7 @@ def atom(pred: str | Var, *args: object, naf: bool = False) -> Atom:
     return Atom(Var(pred[1:]) if isinstance(pred, str) and pred.startswith("?") else pred, tuple(map(term, args)), naf)
 
 
-def test(name: str, *args: object) -> Builtin:
+def cond(name: str, *args: object) -> Builtin:
     return Builtin(name, tuple(map(term, args)))
 
 

@@ -11,7 +11,7 @@ from .engine import Engine
 from .operators.equality import functional_pairs, representatives, same_as_pairs
 from .operators.joins import anti_join, hash_join, merge_join, theta_join
 from .plans.analysis import Safety
-from .plans.model import Atom, Var, atom, rule, test
+from .plans.model import Atom, Var, atom, cond, rule
 from .terms import OWL, RDFS, TYPE, iri
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,7 +118,7 @@ def cross_join_rule(spark, sf_dir):
 def theta_join_rule(spark, sf_dir):
     f = _Facts(spark, sf_dir)
     e = _engine(spark, nation=f.columns("supplier", "s_suppkey", "s_nationkey"), balance=f.columns("supplier", "s_suppkey", "s_acctbal"))
-    body = [atom("nation", "?a", "?n"), atom("nation", "?b", "?n"), atom("balance", "?a", "?x"), atom("balance", "?b", "?y"), test("math:greaterThan", "?x", "?y")]
+    body = [atom("nation", "?a", "?n"), atom("nation", "?b", "?n"), atom("balance", "?a", "?x"), atom("balance", "?b", "?y"), cond("math:greaterThan", "?x", "?y")]
     return e.add_rules([rule(atom("richer", "?a", "?b"), *body)]).relation("richer")
 
 
@@ -146,7 +146,7 @@ def hash_join_operator(spark, sf_dir):
 def _builtin(name: str, column: str, value: object, condition: str, table: str = "part", key: str = "p_partkey") -> None:
     def f(spark, sf_dir):
         e = _engine(spark, has=_Facts(spark, sf_dir).columns(table, key, column))
-        return e.add_rules([rule(atom("Chosen", "?x"), atom("has", "?x", "?v"), test(name, "?v", value))]).relation("Chosen")
+        return e.add_rules([rule(atom("Chosen", "?x"), atom("has", "?x", "?v"), cond(name, "?v", value))]).relation("Chosen")
 
     f.__name__ = "builtin_" + name.replace(":", "_")
     query(f"SELECT DISTINCT {key} AS s FROM {table} WHERE {condition}")(f)
@@ -179,14 +179,14 @@ _builtin("string:notLessThan", "p_brand", "Brand#13", "p_brand >= 'Brand#13'")
 @query("SELECT DISTINCT p_partkey AS s FROM part WHERE p_size % 5 = 3")
 def user_builtin(spark, sf_dir):
     e = Engine(spark, {"my:endsIn3or8": lambda a, _: a % 5 == 3}).add_relation("size", _Facts(spark, sf_dir).part("p_size"))
-    return e.add_rules([rule(atom("Odd", "?x"), atom("size", "?x", "?n"), test("my:endsIn3or8", "?n", "?n"))]).relation("Odd")
+    return e.add_rules([rule(atom("Odd", "?x"), atom("size", "?x", "?n"), cond("my:endsIn3or8", "?n", "?n"))]).relation("Odd")
 
 
 @query("SELECT DISTINCT p_partkey AS s FROM part WHERE p_size > 45 UNION SELECT DISTINCT p_partkey FROM part WHERE p_retailprice < 1000")
 def rule_union(spark, sf_dir):
     f = _Facts(spark, sf_dir)
     e = _engine(spark, size=f.part("p_size"), price=f.part("p_retailprice"))
-    rules = [rule(atom("Special", "?x"), atom("size", "?x", "?n"), test("math:greaterThan", "?n", 45)), rule(atom("Special", "?x"), atom("price", "?x", "?p"), test("math:lessThan", "?p", 1000))]
+    rules = [rule(atom("Special", "?x"), atom("size", "?x", "?n"), cond("math:greaterThan", "?n", 45)), rule(atom("Special", "?x"), atom("price", "?x", "?p"), cond("math:lessThan", "?p", 1000))]
     return e.add_rules(rules).relation("Special")
 
 
@@ -195,8 +195,8 @@ def multi_head(spark, sf_dir):
     f = _Facts(spark, sf_dir)
     e = _engine(spark, size=f.part("p_size"), brand=f.part("p_brand"))
     rules = [
-        rule([atom("tag", "?x", "large"), atom("tag", "?x", "?b")], atom("size", "?x", "?n"), atom("brand", "?x", "?b"), test("math:greaterThan", "?n", 25)),
-        rule(atom("tag", "?x", "small"), atom("size", "?x", "?n"), test("math:notGreaterThan", "?n", 25)),
+        rule([atom("tag", "?x", "large"), atom("tag", "?x", "?b")], atom("size", "?x", "?n"), atom("brand", "?x", "?b"), cond("math:greaterThan", "?n", 25)),
+        rule(atom("tag", "?x", "small"), atom("size", "?x", "?n"), cond("math:notGreaterThan", "?n", 25)),
     ]
     return e.add_rules(rules).relation("tag")
 
@@ -312,7 +312,7 @@ def hybrid_predicate(spark, sf_dir):
 def rule_firing_counts(spark, sf_dir):
     f = _Facts(spark, sf_dir)
     e = _engine(spark, size=f.part("p_size"), price=f.part("p_retailprice"))
-    rules = [rule(atom("Good", "?x"), atom("size", "?x", "?n"), test("math:greaterThan", "?n", 25), name="large"), rule(atom("Good", "?x"), atom("price", "?x", "?p"), test("math:lessThan", "?p", 1200), name="cheap")]
+    rules = [rule(atom("Good", "?x"), atom("size", "?x", "?n"), cond("math:greaterThan", "?n", 25), name="large"), rule(atom("Good", "?x"), atom("price", "?x", "?p"), cond("math:lessThan", "?p", 1200), name="cheap")]
     return e.add_rules(rules).firing_counts()
 
 
@@ -555,7 +555,7 @@ def safety_loose(spark, sf_dir):
     e = Engine(spark, safety=Safety.LOOSE).add_relation("balance", _Facts(spark, sf_dir).columns("customer", "c_custkey", "c_acctbal"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        e.add_rules([rule(atom("InDebt", "?c"), atom("balance", "?c", "?b"), test("math:lessThan", "?b", 0)), rule(atom("InDebt", "?z"), atom("balance", "?c", "?b"))])
+        e.add_rules([rule(atom("InDebt", "?c"), atom("balance", "?c", "?b"), cond("math:lessThan", "?b", 0)), rule(atom("InDebt", "?z"), atom("balance", "?c", "?b"))])
     return e.relation("InDebt")
 
 

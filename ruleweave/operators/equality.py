@@ -40,10 +40,11 @@ def same_as_pairs(reps: DataFrame) -> DataFrame:
 
 def rewritten(facts: DataFrame, reps: DataFrame) -> DataFrame:
     """Facts (s) or (s, o) with every node replaced by its representative."""
-    for c in facts.columns:
+    names = facts.columns
+    for c in names:
         r = reps.select(F.col("node").alias(c), F.col("rep").alias("_rep"))
         facts = facts.join(r, c, "left").withColumn(c, F.coalesce("_rep", c)).drop("_rep")
-    return facts.distinct()
+    return facts.select(*names).distinct()
 
 
 def functional_pairs(facts: DataFrame, inverse: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty, word_count, words
+from .common import saved, text_or_empty, words
 
 #: Documents of a host that may hold a line.
 LIMIT = 50
@@ -40,8 +40,8 @@ def own_metrics(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         *rest,
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(F.regexp_replace("text", f"[{_SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         windows.alias("s"),
     )
@@ -57,7 +57,8 @@ def own_metrics(docs: DataFrame) -> DataFrame:
 
 def normalised_lines(text: Column) -> Column:
     """The lines of a text, normalised; lines without a word are left out."""
-    flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    # only white space that isn't one plain space already is replaced, as most is
+    flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
     return F.filter(F.transform(F.split(flat, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
@@ -75,8 +76,9 @@ def quality_rules(docs: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED)
     ]
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("text")).select("doc_id", "source", "text", *keys)
     host = F.coalesce(F.col("source"), F.lit("null source")).alias("host")
-    hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), word_count(x).alias("words")))
-    lines = docs.select("k1", "k2", host, hashed.alias("lines"))
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
+    hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("words")))
+    lines = saved(docs.select("k1", "k2", host, hashed.alias("lines")), "lines")  # texts are cut to lines once
     held = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     often = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limit)
     often = saved(often.select(F.col("host").alias("h"), F.col("line").alias("l")), "often")  # once written, Spark knows its size and picks the join by it
@@ -84,7 +86,7 @@ def quality_rules(docs: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED)
     removed = each.join(often, (F.col("host") == F.col("h")) & (F.col("line") == F.col("l")), "left_semi").groupBy("k1", "k2").agg(F.sum("words").alias("sum"))
     own = own_metrics(docs.drop("source"))
     # rows that are equal in all that is read share a key: the sum is theirs together
-    copies = docs.select("k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    copies = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
     removed = removed.join(copies, ["k1", "k2"]).select("k1", "k2", (F.col("sum") / F.col("copies")).cast("long").alias("removed_words"))
     removed = saved(removed, "removed")
     out = own.join(removed, ["k1", "k2"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))

@@ -87,8 +87,9 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words, without an array: gaps are cut to one space each, then counted."""
-    flat = F.btrim(F.regexp_replace(text, GAP, " "))
-    spaces = F.length(flat) - F.length(F.translate(flat, " ", ""))
+    # only white space that isn't one plain space already is replaced, as most is
+    flat = F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" ")))
     return F.when(flat == "", 0).otherwise(spaces + 1).cast("long")
 
 

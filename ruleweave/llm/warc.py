@@ -69,7 +69,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, date: str
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 record = _record(*row, date)
                 if compress:
-                    z = zlib.compressobj(4, zlib.DEFLATED, 31)
+                    z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     record = z.compress(record) + z.flush()
                 else:
                     record = record[:-4]  # the writer ends each with the blank lines

@@ -308,13 +308,13 @@ def near_duplicates(
 def near_dedup(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` of which each group keeps one: that with the smallest doc_id.
 
-    Rows that repeat a kept doc_id are cut to one; rows with a null doc_id stay.
+    Rows that repeat a kept doc_id are cut to the one whose text comes first; rows with a null doc_id stay.
     """
     found = near_duplicates(docs, **parameters)
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = saved(kept, "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    out = rows.join(kept.select(F.col("doc_id").alias("id")), "id", "left_semi")
     if kept.where("n > 1").limit(1).count():
-        row = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-        out = out.withColumn("_row", F.row_number().over(row)).where("_row = 1").drop("_row")
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        out = out.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("turn = 1")
+    return out.unionByName(rows.where("id is null"), allowMissingColumns=True).select("row.*")

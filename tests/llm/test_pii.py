@@ -1,0 +1,51 @@
+import hashlib
+import random
+import re
+
+from ruleweave.llm.pii import KINDS, base_spans, luhn, personal_data
+
+from .conftest import prose
+
+
+def brute(t):
+    t = t or ""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m.group())) <= 15],
+    }
+
+
+def joined(b):
+    return ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in b[k])
+
+
+def test_base_spans_equal_the_plain_patterns():
+    rng = random.Random(1)
+    for i in range(20_000):
+        letters = "0123456789+. -" if i % 3 == 0 else "a1@.-+ ()%_0952é\n4"
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))
+        assert base_spans(t) == brute(t), repr(t)
+
+
+def test_edges(edge, edge_rows, nothing):
+    short = [(i, t) for i, t, *_ in edge_rows if i != 11]  # plain patterns are quadratic on row 11
+    got = [r for r in personal_data(edge).collect() if r["doc_id"] != 11]
+    want = sorted((str(i), hashlib.sha256(joined(brute(t)).encode()).hexdigest(), *[len(brute(t)[k]) for k in KINDS]) for i, t in short)
+    assert sorted((str(r["doc_id"]), r["base_sha256"], *[r["n_" + k] for k in KINDS]) for r in got) == want
+    assert personal_data(nothing).count() == 0
+
+
+def test_trusted_contexts_find_unseen_identifiers(spark):
+    rng = random.Random(2)
+    rows = [(i, f"{prose(rng, 10)} reach me: user{i}@mail.example.com {prose(rng, 5)}") for i in range(12)]
+    rows += [(100, f"{prose(rng, 8)} reach me: user-77@localhost {prose(rng, 5)}"), (101, prose(rng, 20) + " order 123456789 shipped"), (102, "in the year 20231231 of")]
+    got = {r["doc_id"]: r for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    (span,) = [x.split(":") for x in got[100]["spans"].split(",")]
+    assert span[0] == "id" and text[100][int(span[1]) : int(span[2])] == "user-77@localhost"
+    assert got[100]["n_email"] == 0 and got[100]["n_id"] == 1
+    assert got[101]["spans"] == "" and got[102]["spans"] == ""
+    assert all(got[i]["spans"] == joined(brute(text[i])) for i in range(12))

@@ -482,6 +482,29 @@ def same_as_rules(spark, sf_dir):
     return _engine(spark, device=device).add_ontology([("device", TYPE, _TYPE_OF["FunctionalProperty"])]).relation(iri(OWL + "sameAs"))
 
 
+@query("SELECT 'nation/' || n_nationkey AS s, 'OneOf/' || n_regionkey AS o FROM nation UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation")
+def elh_classification(spark, sf_dir):
+    from .ontology.elh import classify
+    from .ontology.expr import Named, Some
+
+    # a nation is part of its region; whatever is part of region r is one of r
+    pairs = [tuple(r) for r in _Facts(spark, sf_dir).columns("nation", "n_nationkey", "n_regionkey").collect()]
+    axioms = [(Named(f"nation/{n}"), Some("partOf", Named(f"region/{r}"))) for n, r in pairs]
+    axioms += [(Named(f"nation/{n}"), Named(f"region/{r}")) for n, r in pairs]
+    axioms += [(Some("within", Named(f"region/{r}")), Named(f"OneOf/{r}")) for r in sorted({r for _, r in pairs})]
+    return classify(spark, axioms, [("partOf", "within")])
+
+
+@query("SELECT DISTINCT '<urn:c' || c_custkey || '>' AS s, '<urn:Party>' AS o FROM customer WHERE c_nationkey < 5 UNION SELECT DISTINCT '<urn:c' || c_custkey || '>', '<urn:Customer>' FROM customer WHERE c_nationkey < 5 UNION SELECT DISTINCT '<urn:n' || c_nationkey || '>', '<urn:Nation>' FROM customer WHERE c_nationkey < 5")
+def rdfs_rules(spark, sf_dir):
+    from .ontology.rulesets import RDFS_RULES
+
+    e = Engine(spark).add_relation("<urn:livesIn>", _Facts(spark, sf_dir).columns("customer", "c_custkey", "c_nationkey").where("c_nationkey < 5").selectExpr("concat('<urn:c', c_custkey, '>')", "concat('<urn:n', c_nationkey, '>')"))
+    schema = [("<urn:livesIn>", DOM, "<urn:Customer>"), ("<urn:livesIn>", RNG, "<urn:Nation>"), ("<urn:Customer>", SUB, "<urn:Party>")]
+    e.add_triples(spark.createDataFrame(schema, "s string, p string, o string")).add_rules(RDFS_RULES)
+    return e.match(p=TYPE).select("s", "o")
+
+
 # graph queries
 
 _P = {"": "urn:"}

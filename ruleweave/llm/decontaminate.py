@@ -258,7 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_
     """The rows of ``docs`` that hold no item, in one pass, without a join."""
     spark = docs.sparkSession
     python_ready(spark)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
     for index in item_blocks(benchmark):
         shipped = spark.sparkContext.broadcast(index)
 
@@ -266,7 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_
             hashes = _Hashes()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for i, _ in _searched(batch.column(1), shipped.value, hashes, percent):
+                for i, _ in _searched(batch.column(0).field("text"), shipped.value, hashes, percent):
                     clean[i] = False
                 yield batch.filter(pa.array(clean))
 

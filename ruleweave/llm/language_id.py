@@ -33,6 +33,8 @@ TRAINING_DOCUMENTS = 2000
 ROUNDS = 3
 SMOOTHING = 0.05
 LONGEST = 64
+#: Documents whose distinct words are held and scored at once.
+AT_ONCE = 1500
 UNKNOWN = "und"
 _START = 0xFF  # stands for the word-start mark; no UTF-8 text holds this byte
 _LETTER = re.compile(r"[^\W\d_]")
@@ -60,7 +62,7 @@ class Pieces:
                     children.append({})
                 node = children[node][b]
             at.append(node)
-        self.next = np.zeros((len(children), 256), np.int32)
+        self.next = np.zeros((len(children), 256), np.uint16 if len(children) < 2**16 else np.int32)
         for node, below in enumerate(children):
             for b, to in below.items():
                 self.next[node, b] = to
@@ -90,9 +92,9 @@ def _lengths(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             parts.append(part)
             of.append(k)
     for n, (parts, of) in by.items():
-        for i in range(0, len(parts), 50_000):
-            some = parts[i : i + 50_000]
-            yield np.frombuffer(b"".join(some), np.uint8).reshape(len(some), n), np.array(of[i : i + 50_000])
+        for i in range(0, len(parts), 20_000):
+            some = parts[i : i + 20_000]
+            yield np.frombuffer(b"".join(some), np.uint8).reshape(len(some), n), np.array(of[i : i + 20_000])
 
 
 def _edges(symbols: np.ndarray, trie: Pieces) -> Iterator[tuple[int, int, np.ndarray | slice, np.ndarray]]:
@@ -193,7 +195,10 @@ def fit(docs: DataFrame, vocabulary: str | None = None, documents: int = TRAININ
 
 
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row, and the rest of (doc_id, text, ...) but text: see :func:`identify`."""
+    """The columns of ``docs`` but ``text`` with lang_pred and score: see :func:`identify`.
+
+    The text is the column ``text``, or that field of a column ``row``.
+    """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     python_ready(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
@@ -201,29 +206,33 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = pieces_of(path)
-        for batch in batches:
-            index: dict[str, int] = {}
-            vectors: list[tuple[np.ndarray, np.ndarray] | None] = []
-            for text in batch.column(batch.schema.get_field_index("text")):
-                text = text.as_py()
-                if not langs or text is None or not _LETTER.search(text):
-                    vectors.append(None)
-                    continue
-                ids = [index.setdefault(w, len(index)) for w in text.split()]
-                vectors.append(np.unique(np.array(ids, np.int64), return_counts=True))
-            scores = word_scores(list(index), p, trie) if index else None
-            pred, score = [], []
-            for v in vectors:
-                if v is None:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                s = v[1] @ scores[v[0]]
-                best = int(np.argmax(s))
-                pred.append(langs[best])
-                score.append(float(1 / np.exp(s - s[best]).sum()))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*rest, "lang_pred", "score"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(first, AT_ONCE)
+                at = batch.schema.get_field_index("text")
+                texts = batch.column(at) if at >= 0 else batch.column(batch.schema.get_field_index("row")).field("text")
+                index: dict[str, int] = {}
+                vectors: list[tuple[np.ndarray, np.ndarray] | None] = []
+                for text in texts:
+                    text = text.as_py()
+                    if not langs or text is None or not _LETTER.search(text):
+                        vectors.append(None)
+                        continue
+                    ids = [index.setdefault(w, len(index)) for w in text.split()]
+                    vectors.append(np.unique(np.array(ids, np.int32), return_counts=True))
+                scores = word_scores(list(index), p, trie) if index else None
+                pred, score = [], []
+                for v in vectors:
+                    if v is None:
+                        pred.append(UNKNOWN)
+                        score.append(0.0)
+                        continue
+                    s = v[1] @ scores[v[0]]
+                    best = int(np.argmax(s))
+                    pred.append(langs[best])
+                    score.append(float(1 / np.exp(s - s[best]).sum()))
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*rest, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -246,5 +255,5 @@ def known_language(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, rounds:
     """The rows of ``docs`` whose text is in a learnt language; texts that are null or without a letter go."""
     held = docs.select("doc_id", "text", "lang", is_held_out(F.col("doc_id")).alias("held_out"))
     langs, p = fit(held.where("not held_out").select("doc_id", "text", "lang"), documents=documents, rounds=rounds)
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = docs.select(F.struct("*").alias("row"))
     return predict(rows, langs, p).where(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -42,16 +42,32 @@ class Engine:
 
     # facts and rules
 
-    def add_relation(self, pred: str, facts: DataFrame) -> Engine:
-        """Facts of one predicate: the first one or two columns of ``facts``."""
+    def add_relation(self, pred: str, facts: DataFrame, unique: bool = False) -> Engine:
+        """Facts of one predicate: the one or two columns of ``facts``.
+
+        ``unique`` says that no fact repeats, which saves the shuffle to make it so.
+        """
         names = ["s", "o"][: len(facts.columns)]
         if not 1 <= len(facts.columns) <= 2:
             raise ValueError("a relation has one column or two")
-        facts = facts.toDF(*names).where(" and ".join(f"{n} is not null" for n in names)).distinct()
-        self.stored.add(pred, facts)
+        facts = facts.toDF(*names).where(" and ".join(f"{n} is not null" for n in names))
+        if pred in self.stored.parts:
+            unique = False  # the parts may share facts
+        self.stored.add(pred, facts if unique else facts.distinct())
         self._closure = None
         return self
 
+    def add_store(self, path: str) -> Engine:
+        """The relations of a store that :func:`ruleweave.sources.store.write_store` wrote."""
+        from .sources.store import relations
+
+        for pred, facts in relations(self.spark, path).items():
+            plain = pred not in self.stored.parts
+            self.add_relation(pred, facts, unique=True)
+            if plain:
+                self.stored.plain.add(pred)
+        return self
+
     def add_triples(self, triples: DataFrame) -> Engine:
         """Facts as triples (s, p, o) of canonical terms."""
         for pred, facts in split_triples(triples.select("s", "p", "o")).items():

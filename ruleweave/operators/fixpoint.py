@@ -42,12 +42,23 @@ class Relations:
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None) -> None:
         self.spark = spark
         self.parts: dict[str, list[DataFrame]] = {p: [df] for p, df in (tables or {}).items()}
+        #: Predicates whose facts are plain scans, which cost the same whenever they are read.
+        self.plain: set[str] = set()
 
     def copy(self) -> Relations:
         out = Relations(self.spark)
         out.parts = {p: list(x) for p, x in self.parts.items()}
+        out.plain = set(self.plain)
         return out
 
+    def keep(self, pred: str) -> None:
+        """Write a relation once if each reading of it would be computed anew."""
+        if pred in self.parts and pred not in self.plain:
+            whole = self.get(pred)
+            assert whole is not None
+            self.parts[pred] = [saved(whole, "relation")]
+            self.plain.add(pred)
+
     def get(self, pred: str) -> DataFrame | None:
         parts = self.parts.get(pred)
         if not parts:
@@ -144,6 +155,9 @@ class Fixpoint:
         written = {h.pred for r in rules for h in r.heads}
         wild = any(isinstance(p, Var) for p in written) or any(r.name in self.hooks for r in rules)
         recursive = {p for r in rules for a in r.positive if (p := a.pred) in written or isinstance(p, Var) or wild}
+        if recursive:  # what each round reads again is written once
+            for p in {a.pred for r in rules for a in r.positive if not isinstance(a.pred, Var)} - written:
+                self.relations.keep(p)
         everything = dict(new or {})
         delta = new
         for turn in range(self.max_rounds):

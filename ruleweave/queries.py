@@ -70,10 +70,14 @@ class _Facts:
 _TURNS = "SELECT DISTINCT 't/' || a.conv_id || '/' || a.turn AS s, 't/' || a.conv_id || '/' || (a.turn + 1) AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 
+#: Relations whose first column is a key of their table: no fact repeats.
+_KEYED = {"status", "inNation", "inRegion", "orderedBy", "basedIn", "size", "price", "brand", "segment", "balance", "nation", "has", "Customer", "Finished", "up", "next_turn"}
+
+
 def _engine(spark: SparkSession, **relations: DataFrame) -> Engine:
     e = Engine(spark)
     for name, df in relations.items():
-        e.add_relation(name, df)
+        e.add_relation(name, df, unique=name in _KEYED)
     return e
 
 

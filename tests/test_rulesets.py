@@ -57,3 +57,17 @@ def test_bindings_pass_into_the_class_atom():
     _, arcs = sip(r, r.heads[0], "b")
     (arc,) = [a for a in arcs if a.target.pred == "Movie"]
     assert arc.variables == ("m",) and "digraph" in sip_dot(r, r.heads[0], "b")
+
+
+def test_store_is_pruned_by_predicate(spark, tmp_path):
+    from ruleweave.sources.store import read_store, relations, write_store
+
+    data = [("<a>", "<p>", "<b>"), ("<a>", "<q>", "<c>"), ("<a>", TYPE, "<C>"), ("<b>", TYPE, "<D>"), ("<a>", "<p>", "<b>")]
+    path = str(tmp_path / "store")
+    write_store(spark.createDataFrame(data, "s string, p string, o string"), path)
+    assert rows(read_store(spark, path)) == set(data)
+    assert rows(relations(spark, path)["<C>"]) == {("<a>",)}
+    e = Engine(spark).add_store(path).add_rules([rule(atom("<R>", "?x"), atom("<p>", "?x", "?y"), atom("<D>", "?y"))])
+    assert rows(e.relation("<R>", 1)) == {("<a>",)}
+    plan = relations(spark, path)["<p>"].where("s = '<a>'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "EqualTo(s,<a>)" in plan

@@ -47,6 +47,8 @@ LEADERS = 3
 HOODS = 4
 #: Documents of a neighbourhood in one side of a block.
 BLOCK = 512
+#: Pairs between two neighbourhoods up to which they are made as rows.
+PAIRED = 2048
 
 _MULTIPLIERS = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -204,11 +206,29 @@ def _hood_links(hoods: DataFrame, texts: DataFrame, size: int, percent: int) ->
     rows = hoods.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.select("hood", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     rows = rows.select("hood", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.col("rep").alias("doc_id"), "comp")
+    return _block_links(rows, texts, size, percent)
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     rows = rows.join(texts, "doc_id").select("hood", "low", "high", "side", "doc_id", "comp", "text")
     rows = rows.repartition("hood", "low", "high").sortWithinPartitions("hood", "low", "high")
     return rows.mapInArrow(_all_pairs(size, percent), "u long, v long")
 
 
+def _cross_links(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the members of two hoods, for pairs (hood0, hood0_, m, m_) of hoods with their sizes."""
+    parts = [F.ceil(F.col(x) / BLOCK).cast("int") for x in ("m", "m_")]
+    sides = []
+    for side, (mine, others) in enumerate((parts, parts[::-1])):
+        to = members.select("rep", "comp", F.col("hood0").alias(("hood0", "hood0_")[side]))
+        part = F.pmod(F.xxhash64("rep"), mine).cast("int").alias("part")
+        rows = pairs.join(to, ("hood0", "hood0_")[side]).select("hood0", "hood0_", "rep", "comp", part, F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+        low, high = (F.col("part"), F.col("other")) if side == 0 else (F.col("other"), F.col("part"))
+        # sides are never the same part, so their numbers are kept apart
+        sides.append(rows.select(F.xxhash64("hood0", "hood0_").alias("hood"), low.alias("low"), (high + 2**30).alias("high"), F.lit(side).alias("side"), F.col("rep").alias("doc_id"), "comp"))
+    return _block_links(sides[0].unionByName(sides[1]), texts, size, percent)
+
+
 def near_duplicates(
     docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, size: int = SHINGLE_WORDS, percent: int = PERCENT, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -281,13 +301,24 @@ def near_duplicates(
         mixed = left.groupBy("token").agg(reduce(lambda a, b: a & b, several).alias("mixed")).where("mixed").select("token")
         left = saved(left.join(mixed, "token"), "mixed")
 
-    # lists that still hold more than one of each: every pair that was in no neighbourhood and agrees often enough
+    # lists that still hold more than one of each: pairs that were in no neighbourhood, by pairs of neighbourhoods.
+    # Where these share many lists, all their members are paired once; large ones go block by block like a neighbourhood.
     hoods = [f"hood{i}" for i in range(HOODS)]
-    parts = saved(left.select("token", "hood0").distinct(), "parts")
-    across = parts.join(parts.select("token", F.col("hood0").alias("hood0_")), "token").where("hood0 < hood0_")
-    other = left.select("token", *[F.col(x).alias(x + "_") for x in ("rep", "comp", *hoods)])
     apart = " and ".join(f"{x} != {x}_" for x in ("comp", *hoods[1:]))
-    pairs = across.join(left, ["token", "hood0"]).join(other, ["token", "hood0_"]).where(apart)
+    parts = saved(left.groupBy("token", "hood0").agg(F.count(F.lit(1)).alias("n")), "parts")
+    across = parts.join(parts.select("token", *[F.col(x).alias(x + "_") for x in ("hood0", "n")]), "token").where("hood0 < hood0_")
+    members = saved(left.select("rep", "comp", *hoods).distinct(), "members")
+    size_of = members.groupBy("hood0").agg(F.count(F.lit(1)).alias("m"))
+    plan = across.groupBy("hood0", "hood0_").agg(F.sum(F.col("n") * F.col("n_")).alias("by_lists"))
+    plan = plan.join(size_of, "hood0").join(size_of.select(F.col("hood0").alias("hood0_"), F.col("m").alias("m_")), "hood0_")
+    dense = saved(plan.where("m * m_ < by_lists"), "dense")
+    other = members.select(*[F.col(x).alias(x + "_") for x in members.columns])
+    whole = dense.where(F.col("m") * F.col("m_") <= PAIRED).join(members, "hood0").join(other, "hood0_").where(apart)
+    listed = left.select("token", "rep", "comp", *hoods)
+    lists = across.join(dense, ["hood0", "hood0_"], "left_anti").join(listed, ["token", "hood0"])
+    lists = lists.join(listed.select(*[F.col(x).alias(x if x == "token" else x + "_") for x in listed.columns]), ["token", "hood0_"]).where(apart)
+    within = within.unionByName(_cross_links(dense.where(F.col("m") * F.col("m_") > PAIRED), members, texts, size, percent))
+    pairs = whole.select("rep", "rep_").unionByName(lists.select("rep", "rep_"))
     pairs = pairs.select(F.least("rep", "rep_").alias("v"), F.greatest("rep", "rep_").alias("u")).distinct()
     sigs = classes.select("rep", "sig")
     pairs = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("s1")), "u")

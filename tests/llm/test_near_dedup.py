@@ -93,3 +93,13 @@ def test_signatures_agree_as_often_as_sets():
     agree = (signature(x) == signature(y)).sum() / COORDINATES
     assert abs(true - agree) < 0.2
     assert len(shingle_set("A b  C\nd", h)) == 1 and len(shingle_set("", h)) == 0
+
+
+def test_small_blocks_find_the_same(spark, monkeypatch):
+    from ruleweave.llm import near_dedup as nd
+
+    for name, value in {"BLOCK": 7, "PAIRED": 0, "CHUNK": 3, "ROUNDS": 1, "HOODS": 1}.items():
+        monkeypatch.setattr(nd, name, value)
+    rows = corpus(3, hot=120)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)

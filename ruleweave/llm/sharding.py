@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, spread_rank
+from .common import saved, spread_rank, text_or_empty
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -128,15 +128,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFram
     ``law``: ``bytes`` packs groups of equal texts so that sizes are near equal;
     ``rows`` deals rows so that counts are at most one apart; ``key`` lets doc_id
     and the number of shards decide (highest random weight), and grown_shard is
-    the shard with one more. Null texts have size 8, a null text_crc32 and are
+    the shard with one more. Null texts are as empty ones: size 8, text_crc32 0,
     one group. Repeated rows each get a slot; a null doc_id is a value like any.
     Equal texts whose bytes exceed a shard's share keep a shard of their own. An
     empty table gives an empty result. Other columns are not read.
     """
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    rows = docs.select(
-        F.col("doc_id").alias("doc_id"), size.alias("size"), F.crc32("text").alias("text_crc32"), F.coalesce(F.md5("text"), F.lit("")).alias("key")
-    )
+    text = text_or_empty()
+    size = F.octet_length(text).cast("long") + ROW_BYTES
+    rows = docs.select(F.col("doc_id").alias("doc_id"), size.alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("key"))
     cell = F.pmod(F.xxhash64("doc_id", "key"), F.lit(CELLS))
     if law == "bytes":
         rows = saved(rows.withColumn("key", F.unhex("key")), "rows")

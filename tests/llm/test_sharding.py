@@ -81,7 +81,7 @@ def test_laws(spark, law):
 def test_edges(edge, edge_rows, nothing):
     for law in ("bytes", "rows", "key"):
         got = shard(edge, law=law).collect()
-        assert len(got) == len(edge_rows) and sum(r["text_crc32"] is None for r in got) == 2
+        assert len(got) == len(edge_rows) and sum(r["text_crc32"] == 0 and r["size"] == 8 for r in got) == 3
         assert shard(nothing, law=law).count() == 0
     with pytest.raises(ValueError):
         shard(edge, law="none")

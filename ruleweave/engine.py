@@ -142,11 +142,15 @@ class Engine:
         """Stored and derived facts as triples."""
         return self.run().relations.triples()
 
-    def inferred(self) -> DataFrame:
-        """Derived facts that were not stored, as triples."""
+    def inferred(self, without_schema: bool = False) -> DataFrame:
+        """Derived facts that were not stored, as triples; ``without_schema`` leaves out types of predicates and classes."""
         found = Relations(self.spark)
         found.parts = dict(self.run().derived)
-        return found.triples()
+        out = found.triples()
+        if without_schema:  # predicates and classes in use are a vocabulary
+            names = sorted(self.run().relations.parts)
+            out = out.where((F.col("p") != TYPE) | ~F.col("s").isin(names))
+        return out
 
     def relation(self, pred: str, arity: int = 2) -> DataFrame:
         """The extent of a predicate in the closure."""

@@ -3,7 +3,7 @@
 Every document is posted under each (coordinate, value) pair of its signature.
 A pair of documents whose sets have Jaccard similarity s agrees in Binomial(K, s)
 coordinates, so those that agree in fewer than ``matches`` of K are left out (with
-K = 64, matches = 32 and s = 0.75 a link is missed with a chance of 4 in a million).
+K = 64, matches = 32 and s = 0.75 a link is missed with a chance of 5 in a million).
 Collisions are counted by prefix and skip merging: a document's postings are put
 in order of their frequency, postings that occur once are skipped, documents left
 with fewer than ``matches`` postings are skipped, and two documents that agree in

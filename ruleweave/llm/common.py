@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds now; it does so once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Delete what :func:`saved` has written in this process."""
     while _written:
@@ -135,6 +142,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tidy(e.sparkSession)
         if now == last:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()

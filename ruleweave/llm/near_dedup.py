@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, python_ready, saved
+from .common import components, python_ready, saved, tidy
 
 COORDINATES = 64
 MATCHES = 32
@@ -300,6 +300,7 @@ def near_duplicates(
         several = [F.min(x) < F.max(x) for x in ["comp", *[f"hood{i}" for i in range(turn + 1)]]]
         mixed = left.groupBy("token").agg(reduce(lambda a, b: a & b, several).alias("mixed")).where("mixed").select("token")
         left = saved(left.join(mixed, "token"), "mixed")
+        tidy(spark)
 
     # lists that still hold more than one of each: pairs that were in no neighbourhood, by pairs of neighbourhoods.
     # Where these share many lists, all their members are paired once; large ones go block by block like a neighbourhood.

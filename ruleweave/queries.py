@@ -486,6 +486,13 @@ def same_as_rules(spark, sf_dir):
     return _engine(spark, device=device).add_ontology([("device", TYPE, _TYPE_OF["FunctionalProperty"])]).relation(iri(OWL + "sameAs"))
 
 
+# whole tables: same_as_rules and rdfs_rules read a subset of the customers
+@query("SELECT 'c' || a.c_custkey AS s, 'c' || b.c_custkey AS o FROM customer a JOIN customer b ON a.c_acctbal = b.c_acctbal AND a.c_custkey <> b.c_custkey")
+def same_as_rules_all(spark, sf_dir):
+    balance = _Facts(spark, sf_dir).columns("customer", "cast(c_acctbal as string)", "concat('c', c_custkey)")
+    return _engine(spark, balance=balance).add_ontology([("balance", TYPE, _TYPE_OF["FunctionalProperty"])]).relation(iri(OWL + "sameAs"))
+
+
 @query("SELECT 'nation/' || n_nationkey AS s, 'OneOf/' || n_regionkey AS o FROM nation UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation")
 def elh_classification(spark, sf_dir):
     from .ontology.elh import classify
@@ -509,6 +516,16 @@ def rdfs_rules(spark, sf_dir):
     return e.match(p=TYPE).select("s", "o")
 
 
+@query("SELECT DISTINCT '<urn:c' || c_custkey || '>' AS s, '<urn:Party>' AS o FROM customer UNION SELECT DISTINCT '<urn:c' || c_custkey || '>', '<urn:Customer>' FROM customer UNION SELECT DISTINCT '<urn:n' || c_nationkey || '>', '<urn:Nation>' FROM customer")
+def rdfs_rules_all(spark, sf_dir):
+    from .ontology.rulesets import RDFS_RULES
+
+    e = Engine(spark).add_relation("<urn:livesIn>", _Facts(spark, sf_dir).columns("customer", "concat('<urn:c', c_custkey, '>')", "concat('<urn:n', c_nationkey, '>')"))
+    schema = [("<urn:livesIn>", DOM, "<urn:Customer>"), ("<urn:livesIn>", RNG, "<urn:Nation>"), ("<urn:Customer>", SUB, "<urn:Party>")]
+    e.add_triples(spark.createDataFrame(schema, "s string, p string, o string")).add_rules(RDFS_RULES)
+    return e.match(p=TYPE).select("s", "o")
+
+
 # graph queries
 
 _P = {"": "urn:"}

@@ -5,9 +5,10 @@ random walk embeds the words from any place on (the CGK embedding: at each step
 the walk puts out the word under it, and a random bit of that word decides
 whether it moves on), so that a small edit distance becomes a small Hamming
 distance. Sampling a few steps of the output gives a hash that near sequences
-share; a passage of an item's size gets such a hash at each of its words, in
-several repetitions with other bits, so an item is found wherever a few words in
-a row are unharmed. Every candidate is then verified by the exact edit distance
+share; every place gets such a hash, in several repetitions with other bits. A
+walk covers at most ``STEPS`` words, so edits spread evenly may harm each one:
+an item is also looked up by its pieces, one more than it may have edits, of
+which one is always unharmed. Every candidate is then verified by the exact edit distance
 of the item to the best window of the document: at most ``PERCENT_EDITS`` of its words.
 
 The items are a stated query set, taken in blocks of a bounded size; every
@@ -40,6 +41,8 @@ _AT_ONCE = 1_000_000
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
+#: Words at which a piece of an item is looked up, at most.
+_PIECE_WORDS = 4
 
 
 class _Hashes(dict):
@@ -62,61 +65,85 @@ def sampled_steps(seed: int = 11) -> list[list[int]]:
 
 
 class ItemIndex:
-    """The hashes of a block of items, by repetition and number of samples."""
+    """The hashes of a block of items: of walks by repetition and number of samples, of pieces by their words."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT_EDITS) -> None:
         hashes = _Hashes()
         self.items = [(i, w) for i, text in items if len(w := word_hashes(text, hashes)) >= LEAST_WORDS]
         self.lists = [w.tolist() for _, w in self.items]
+        self.sizes = np.array([len(w) for w in self.lists], np.int64)
         self.steps = sampled_steps()
         self.first = np.zeros(1 << _TABLE_BITS, bool)
         self.tables: list[list[np.ndarray]] = []
         self.found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]] = []
-        # walks that rest on one word sample little: of each item's walks the two fifths that sample most words are kept
-        walks = [[(o, r, *self._keys(w, o, r)) for o in range(len(w)) for r in range(REPETITIONS)] for _, w in self.items]
-        least = [sorted((x[3] for x in of), reverse=True)[2 * len(of) // 5] for of in walks]
         for r, steps in enumerate(self.steps):
             levels: list[dict[int, list[tuple[int, int]]]] = [{} for _ in steps]
             passed: list[set[int]] = [set() for _ in steps]
-            for k, of in enumerate(walks):
-                mine = [(o, keys) for o, at, keys, places in of if at == r and places >= least[k]]
-                most = max((len(keys) for _, keys in mine), default=0)
-                for o, keys in mine:
+            for k, (_, w) in enumerate(self.items):
+                walks = [self._keys(w, o, r) for o in range(len(w))]
+                most = max(map(len, walks))
+                for o, keys in enumerate(walks):
                     if len(keys) == most:
                         levels[most - 1].setdefault(keys[-1], []).append((k, o))
                         for level, key in enumerate(keys):
                             passed[level].add(key)
                             if level == 0:
                                 self.first[key >> (64 - _TABLE_BITS)] = True
-            tables, found = [], []
-            for level in range(len(steps)):
-                t = np.zeros(1 << _TABLE_BITS, bool)
-                t[np.array(sorted(passed[level]), np.uint64) >> np.uint64(64 - _TABLE_BITS)] = True
-                tables.append(t)
-                keys = sorted(levels[level])
-                if keys:
-                    ends = np.cumsum([len(levels[level][x]) for x in keys])
-                    found.append((np.array(keys, np.uint64), ends, np.array([p for x in keys for p in levels[level][x]], np.int64)))
-                else:
-                    found.append(None)
-            self.tables.append(tables)
-            self.found.append(found)
-
-    def _keys(self, w: np.ndarray, at: int, r: int) -> tuple[list[int], int]:
-        """The hash after each sampled step that the walk from ``at`` reaches within the item, and how many places are sampled."""
-        steps, keys, key, places = self.steps[r], [], 0, set()
+            self.tables.append([self._table(x) for x in passed])
+            self.found.append([self._sorted(x) for x in levels])
+        pieces: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(_PIECE_WORDS)]
+        for k, (_, w) in enumerate(self.items):
+            # of one piece more than there may be edits, one is unharmed
+            n = min(len(w) * percent // 100 + 1, len(w))
+            for o, end in ((len(w) * i // n, len(w) * (i + 1) // n) for i in range(n)):
+                size = min(end - o, _PIECE_WORDS)
+                pieces[size - 1].setdefault(self._piece(w[o : o + size]), []).append((k, o))
+        self.pieces = [(self._table(x), self._sorted(x)) for x in pieces]
+
+    @staticmethod
+    def _piece(words: np.ndarray) -> int:
+        key = 0
+        for w in words.tolist():
+            key = (key * int(_TIMES) + w) % 2**64
+        return key
+
+    @staticmethod
+    def _table(keys) -> np.ndarray:
+        t = np.zeros(1 << _TABLE_BITS, bool)
+        t[np.array(sorted(keys), np.uint64) >> np.uint64(64 - _TABLE_BITS)] = True
+        return t
+
+    @staticmethod
+    def _sorted(of: dict[int, list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        keys = sorted(of)
+        if not keys:
+            return None
+        return np.array(keys, np.uint64), np.cumsum([len(of[x]) for x in keys]), np.array([p for x in keys for p in of[x]], np.int64)
+
+    @staticmethod
+    def _matches(place: np.ndarray, key: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """(place, item, offset) for each place and each item offset with the place's key."""
+        keys, ends, of = found
+        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = np.flatnonzero(keys[i] == key)
+        n = ends[i[hit]] - np.where(i[hit] > 0, ends[i[hit] - 1], 0)
+        which = np.repeat(ends[i[hit]], n) - 1 - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        return np.column_stack([np.repeat(place[hit], n), of[which]])
+
+    def _keys(self, w: np.ndarray, at: int, r: int) -> list[int]:
+        """The hash after each sampled step that the walk from ``at`` reaches within the item."""
+        steps, keys, key = self.steps[r], [], 0
         for j in range(steps[-1] + 1):
             if at >= len(w):
                 break
             if j in steps:
                 key = (key * int(_TIMES) + int(w[at])) % 2**64
                 keys.append(key)
-                places.add(at)
             at += int(w[at]) >> (r * STEPS + j) & 1
-        return keys, len(places)
+        return keys
 
     def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``h`` (which ends in padding of at least ``STEPS`` words) with items and the items' offsets."""
+        """Places in ``h`` (which ends in padding of at least ``STEPS`` words) with items and the items' offsets, some more than once."""
         shift = np.uint64(64 - _TABLE_BITS)
         start = np.flatnonzero(self.first[h[:-STEPS] >> shift])
         out = [np.empty((0, 3), np.int64)]
@@ -132,15 +159,14 @@ class ItemIndex:
                 if not len(place):
                     break
                 if self.found[r][level] is not None:
-                    keys, ends, of = self.found[r][level]
-                    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = np.flatnonzero(keys[i] == key)
-                    if len(hit):
-                        n = ends[i[hit]] - np.where(i[hit] > 0, ends[i[hit] - 1], 0)
-                        which = np.repeat(ends[i[hit]], n) - 1 - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                        out.append(np.column_stack([np.repeat(place[hit], n), of[which]]))
-        all_ = np.unique(np.concatenate(out), axis=0)
-        return all_[:, 0], all_[:, 1], all_[:, 2]
+                    out.append(self._matches(place, key, self.found[r][level]))
+        key = np.zeros(len(h), np.uint64)
+        for size, (table, found) in enumerate(self.pieces, 1):
+            key = key[: len(h) - size + 1] * _TIMES + h[size - 1 :]
+            if found is not None:
+                place = np.flatnonzero(table[key[: len(h) - STEPS] >> shift])
+                out.append(self._matches(place, key[place], found))
+        return tuple(np.concatenate(out).T)
 
 
 def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -156,24 +182,19 @@ def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def _verified(index: ItemIndex, doc: np.ndarray, places: np.ndarray, items: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
+def _verified(index: ItemIndex, doc: np.ndarray, items: np.ndarray, cells: np.ndarray, percent: int) -> list[tuple[int, int, int, int]]:
     """(item id, item words, edits, end word) of the items that the document holds, the best window of each."""
     best: dict[int, tuple[int, int]] = {}
     words = doc.tolist()
-    tried: set[tuple[int, int]] = set()
-    for place, k, offset in zip(places.tolist(), items.tolist(), offsets.tolist(), strict=True):
+    for k, cell in zip(items.tolist(), cells.tolist(), strict=True):
+        if best.get(k, (1,))[0] == 0:  # cells are in order: a later window is no better
+            continue
         item = index.items[k][1]
         most = len(item) * percent // 100
-        start = place - offset
-        # any alignment with this place lies within ``most`` words of it; near starts share a wider window
-        cell = start // (most + 1)
-        if (k, cell) in tried or best.get(k, (1,))[0] == 0:
-            continue
-        tried.add((k, cell))
         low = max(0, cell * (most + 1) - most)
         high = cell * (most + 1) + most + len(item) + most + 1
         near = set(words[low:high])
-        if sum(w in near for w in index.lists[k]) < len(item) - most:  # each word that is missing costs an edit
+        if sum(map(near.__contains__, index.lists[k])) < len(item) - most:  # each word that is missing costs an edit
             continue
         edits, end = best_window(item, doc[low:high])
         if edits <= most and (k not in best or (edits, low + end) < best[k]):
@@ -194,13 +215,22 @@ def _searched(texts: pa.Array, index: ItemIndex, hashes: _Hashes, percent: int)
         ends = np.cumsum([len(d) for d in docs])
         places, items, offsets = index.candidates(h)
         of = np.searchsorted(ends, places, side="right")
-        for d in np.unique(of[of < len(docs)]).tolist():
+        places, items, offsets, of = (x[of < len(docs)] for x in (places, items, offsets, of))
+        if not len(of):
+            continue
+        starts = places - offsets - (ends - [len(d) for d in docs])[of]
+        # any alignment with a place lies within ``most`` words of its start; near starts share a wider window
+        cells = starts // (index.sizes[items] * percent // 100 + 1)
+        least, span = cells.min(), cells.max() - cells.min() + 1
+        rest, cells = np.divmod(np.unique((of * len(index.items) + items) * span + cells - least), span)
+        of, items = np.divmod(rest, len(index.items))
+        for d in np.unique(of).tolist():
             mine = slice(*np.searchsorted(of, [d, d + 1]))
-            for match in _verified(index, docs[d], places[mine] - (ends[d] - len(docs[d])), items[mine], offsets[mine], percent):
+            for match in _verified(index, docs[d], items[mine], cells[mine] + least, percent):
                 yield first + d, match
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[ItemIndex]:
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, percent: int = PERCENT_EDITS) -> Iterator[ItemIndex]:
     """The items in blocks of about ``block_words`` words; the driver holds one block's texts at a time."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
@@ -208,10 +238,10 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
         block.append((item, text))
         size += len(text.split())
         if size >= block_words:
-            yield ItemIndex(block)
+            yield ItemIndex(block, percent)
             block, size = [], 0
     if block:
-        yield ItemIndex(block)
+        yield ItemIndex(block, percent)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_EDITS) -> DataFrame:
@@ -229,7 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_E
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     schema = "doc_id long, item_id long, item_words int, edits int, end_word int"
     parts: list[DataFrame] = []
-    for index in item_blocks(benchmark):
+    for index in item_blocks(benchmark, percent=percent):
         shipped = spark.sparkContext.broadcast(index)  # a block: its size is bounded
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -259,7 +289,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.struct("*").alias("row"))
-    for index in item_blocks(benchmark):
+    for index in item_blocks(benchmark, percent=percent):
         shipped = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

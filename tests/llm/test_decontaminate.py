@@ -77,3 +77,23 @@ def test_edges(spark, edge, nothing):
     assert clean.dtypes == edge.dtypes and clean.count() == edge.count() - 3
     assert contaminated(nothing, bench).count() == 0 and contaminated(edge, bench.where("false")).count() == 0
     assert decontaminate(edge, bench.where("false")).count() == edge.count() and decontaminate(nothing, bench).count() == 0
+
+
+def test_no_item_within_the_limit_is_missed():
+    rng, new = random.Random(3), lambda: f"n{rng.randrange(10**9)}"
+    for n in (5, 6, 8, 12, 16, 20, 40):
+        items, docs = [], []
+        for i in range(60):
+            x = [new() for _ in range(n)]
+            y = list(x)
+            if i % 3 == 0:  # each fourth word
+                y[3::4] = [new() for _ in y[3::4]]
+            elif i % 3 == 1:  # one, in the middle
+                y[n // 2] = new()
+            else:  # at random places, with words added and lost
+                for k in sorted(rng.sample(range(n), n * 25 // 100), reverse=True):
+                    y[k : k + 1] = rng.choice([[], [new()], [y[k], new()]])
+            items.append((i, " ".join(x)))
+            docs.append(" ".join([*(new() for _ in range(20)), *y, *(new() for _ in range(20))]))
+        found = {(r, m[0]) for r, m in _searched(pa.array(docs), ItemIndex(items), _Hashes(), 25)}
+        assert found == {(i, i) for i in range(60)}, n

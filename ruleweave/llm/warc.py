@@ -3,7 +3,8 @@
 The reader checks every member and record (framing, lengths, digest). After a
 failed check it searches for the next place where a gzip member or a version line
 begins a valid record, goes on from there, and logs the bytes between as a
-quarantined gap. Archives are read whole by Spark, a file a row; the writer keeps
+quarantined gap. What a damaged member still inflates to is searched in the same
+way by version lines: its valid records are kept beside the gap. Archives are read whole by Spark, a file a row; the writer keeps
 files small by the number of records in each.
 """
 
@@ -29,7 +30,10 @@ DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = b"\x1f\x8b\x08"
+_VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
+#: Bytes of a corrupt member that are inflated at once.
+_CHUNK = 65_536
 #: A gzip member of nothing, which Spark's text writer puts between records.
 _EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003") + bytes.fromhex("0300") + bytes(8)
 
@@ -95,12 +99,15 @@ class Found:
 
 
 class Damaged(Exception):
-    pass
+    def __init__(self, why: str, found: list[Found] | None = None, until: int = 0) -> None:
+        super().__init__(why)
+        #: Valid records of a gzip member that is damaged, and where its inflation stopped.
+        self.found, self.until = found or [], until
 
 
 def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``."""
-    if not re.compile(rb"WARC/1\.[0-9]\r\n").match(data, at):
+    if not _VERSION.match(data, at):
         raise Damaged("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
@@ -133,47 +140,106 @@ def _checked(headers: dict[str, str], block: bytes, start: int, end: int) -> Fou
     return Found(start, end, None, headers, payload, len(payload), actual)
 
 
+def _within(inner: bytes, start: int, end: int) -> list[Found]:
+    """The records of a member's inflated bytes, and a gap for each run of them that is damaged."""
+    out, i, bad = [], 0, False
+    while i < len(inner):
+        try:
+            headers, block, stop = _parsed(inner, i)
+            found = _checked(headers, block, start, end)
+        except Damaged as e:
+            if not bad:
+                out.append(Found(start, end, str(e)))
+            bad = True
+            further = _VERSION.search(inner, i + 1)
+            i = further.start() if further else len(inner)
+            continue
+        out.append(found)
+        i, bad = stop, False
+    return out
+
+
+def _before_error(data: bytes, at: int) -> tuple[bytes, int]:
+    """What a corrupt member inflates to before its error, and where that is."""
+    z, out = zlib.decompressobj(31), []
+    while at < len(data):
+        kept, chunk = z.copy(), data[at : at + _CHUNK]
+        try:
+            out.append(z.decompress(chunk))
+        except zlib.error:
+            for i in range(len(chunk)):
+                try:
+                    out.append(kept.decompress(chunk[i : i + 1]))
+                except zlib.error:
+                    return b"".join(out), at + i
+        at += len(chunk)
+    return b"".join(out), at
+
+
 def _at(data: bytes, at: int) -> tuple[list[Found], int]:
-    """The records of the member or record that begins at ``at``, and its end."""
+    """The records and gaps of the member or record that begins at ``at``, and its end."""
     if data.startswith(_GZIP, at):
-        z = zlib.decompressobj(31)
+        z, why = zlib.decompressobj(31), None
         try:
             inner = z.decompress(memoryview(data)[at:])
+            end = len(data) - len(z.unused_data)
+            if not z.eof:
+                why = "gzip: the member has no end"
         except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
-        if not z.eof:
-            raise Damaged("gzip: the member has no end")
-        end, out, i = len(data) - len(z.unused_data), [], 0
-        while i < len(inner):
-            headers, block, i = _parsed(inner, i)
-            out.append(_checked(headers, block, at, end))
-        return out, end
+            why = f"gzip: {e}"
+            inner, end = _before_error(data, at)
+        found = _within(inner, at, end)
+        valid = [f for f in found if f.reason is None]
+        if why:
+            # a checksum that fails while each record passes: the damage is where no other check sees it
+            hidden = " check" in why and len(valid) == len(found)
+            raise Damaged(why, [] if hidden else valid, end)
+        if found and not valid:
+            raise Damaged(found[0].reason)
+        return found, end
     headers, block, end = _parsed(data, at)
     return [_checked(headers, block, at, end)], end
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """All valid records of an archive's bytes, and the gaps between them, in order."""
+    """All valid records of an archive's bytes, and the gaps between them, in order.
+
+    Records of one member share its place; those of a damaged one follow its gap.
+    """
     at, bad, why = 0, None, ""
+    inside: list[Found] = []
+    until = 0
+
+    def gap(end: int) -> Iterator[Found]:
+        yield Found(bad, end, why)
+        for f in inside:
+            f.end = end
+            yield f
+
     while at < len(data):
         try:
             found, end = _at(data, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
+            if e.found and at >= until:
+                inside += e.found
+                until = e.until
             further = _START.search(data, at + 1)
             at = further.start() if further else len(data)
             continue
-        if not found and bad is not None:
-            at = end  # an empty member within a gap stays in it
+        # an empty member within a gap stays in it, and so does a stored record that was inflated already
+        again = at < until and any((f.headers, f.digest) == (x.headers, x.digest) for f in found[:1] for x in inside)
+        if bad is not None and (not found or again):
+            at = end
             continue
         if bad is not None:
-            yield Found(bad, at, why)
-            bad = None
+            yield from gap(at)
+            bad, inside, until = None, [], 0
         yield from found
         at = end
     if bad is not None:
-        yield Found(bad, len(data), why)
+        yield from gap(len(data))
 
 
 _OUT = "path string, start long, `end` long, gap string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"

@@ -90,3 +90,35 @@ def test_wrong_digest_is_quarantined():
 def test_members_with_several_records():
     parts = archive(3, False)
     assert len(list(salvage(gzip.compress(b"".join(parts))))) == 3
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_a_damaged_member_keeps_its_valid_records(level):
+    rng = random.Random(6)
+    plain = []
+    for i in range(8):
+        p = rng.randbytes(3000)
+        plain.append(_record(i, "http://x", p, hashlib.sha1(p).hexdigest(), None, "2024-01-01T00:00:00Z"))
+    after = gzip.compress(_record(9, "http://y", b"z", hashlib.sha1(b"z").hexdigest(), None, "d"))
+    ids = lambda found: [int(f.headers["warc-record-id"][10:-1]) for f in found if f.reason is None]
+    # one digest is wrong: the member is whole
+    wrong = bytearray(b"".join(plain))
+    wrong[len(plain[0]) * 3 + 1500] ^= 0xFF
+    found = list(salvage(gzip.compress(bytes(wrong), level) + after))
+    assert ids(found) == [0, 1, 2, 4, 5, 6, 7, 9] and ["digest" in f.reason for f in found if f.reason] == [True]
+    # the tail is lost, at the end of the file and before another member
+    member = gzip.compress(b"".join(plain), level)
+    cut = member[: len(member) * 6 // 10]
+    found = list(salvage(cut))
+    assert ids(found) == [0, 1, 2, 3] and [f.start for f in found if f.reason] == [0] and found[0].end == len(cut)
+    found = list(salvage(cut + after))
+    assert ids(found) == [0, 1, 2, 3, 9]
+    # a byte is turned: all other records stay
+    turned = bytearray(member)
+    turned[len(member) * 6 // 10] ^= 0xFF
+    found = list(salvage(bytes(turned) + after))
+    assert set(ids(found)) >= {0, 1, 2, 3, 9} and len(ids(found)) == len(set(ids(found))) and any(f.reason for f in found)
+    # only the checksum is: the damage may be anywhere
+    turned = bytearray(member)
+    turned[-6] ^= 0xFF
+    assert 9 in ids(salvage(bytes(turned) + after))

@@ -55,26 +55,27 @@ def own_metrics(docs: DataFrame) -> DataFrame:
     return rows.select(*rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def normalised_lines(text: Column) -> Column:
-    """The lines of a text, normalised; lines without a word are left out."""
+def _every_line(text: Column) -> Column:
     # only white space that isn't one plain space already is replaced, as most is
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    return F.filter(F.transform(F.split(flat, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.transform(F.split(flat, "\n"), lambda x: F.btrim(x))
 
 
-def quality_rules(docs: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
-    """One row a document: doc_id, the counts, base_failed, removed_words and kept.
+def normalised_lines(text: Column) -> Column:
+    """The lines of a text, normalised; lines without a word are left out."""
+    return F.filter(_every_line(text), lambda x: x != "")
 
-    ``source`` names the host; a null source is a host of its own. A null text has
-    no words and fails. Repeated rows count as a document each. A null doc_id is a
-    value like any. An empty table gives an empty result; other columns are not read.
-    """
+
+def _judged(docs: DataFrame, limit: int, depleted: int, row: Column | None = None) -> DataFrame:
+    """The counts and the verdict of each row; if its ``row`` is given, that too, and the hashes of its removed lines as ``gone``."""
     text = text_or_empty()
     keys = [
         F.xxhash64("text").alias("k1"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("null source"))).alias("k2"),
     ]
-    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("text")).select("doc_id", "source", "text", *keys)
+    carried = [] if row is None else ["row"]
+    docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("text"), *([] if row is None else [row.alias("row")]))
+    docs = docs.select("doc_id", "source", "text", *carried, *keys)
     host = F.coalesce(F.col("source"), F.lit("null source")).alias("host")
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
     hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("words")))
@@ -83,12 +84,41 @@ def quality_rules(docs: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED)
     often = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > limit)
     often = saved(often.select(F.col("host").alias("h"), F.col("line").alias("l")), "often")  # once written, Spark knows its size and picks the join by it
     each = lines.select("k1", "k2", "host", F.explode("lines").alias("x")).select("k1", "k2", "host", "x.line", "x.words")
-    removed = each.join(often, (F.col("host") == F.col("h")) & (F.col("line") == F.col("l")), "left_semi").groupBy("k1", "k2").agg(F.sum("words").alias("sum"))
+    removed = each.join(often, (F.col("host") == F.col("h")) & (F.col("line") == F.col("l")), "left_semi")
+    removed = removed.groupBy("k1", "k2").agg(F.sum("words").alias("sum"), *([] if row is None else [F.collect_set("line").alias("gone")]))
     own = own_metrics(docs.drop("source"))
     # rows that are equal in all that is read share a key: the sum is theirs together
     copies = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    removed = removed.join(copies, ["k1", "k2"]).select("k1", "k2", (F.col("sum") / F.col("copies")).cast("long").alias("removed_words"))
+    removed = removed.join(copies, ["k1", "k2"]).select("k1", "k2", *([] if row is None else ["gone"]), (F.col("sum") / F.col("copies")).cast("long").alias("removed_words"))
     removed = saved(removed, "removed")
     out = own.join(removed, ["k1", "k2"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     kept = ~F.col("base_failed") & (100 * F.col("removed_words") <= depleted * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"), *carried, *([] if row is None else ["gone"]))
+
+
+def quality_rules(docs: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
+    """One row a document: doc_id, the counts, base_failed, removed_words and kept.
+
+    This is the digest of :func:`without_frequent_lines`: both have their verdict
+    from the same removed lines. ``source`` names the host; a null source is a host
+    of its own. A null text has no words and fails. Repeated rows count as a document
+    each. A null doc_id is a value like any. An empty table gives an empty result;
+    other columns are not read.
+    """
+    return _judged(docs, limit, depleted)
+
+
+def without_frequent_lines(docs: DataFrame, limit: int = LIMIT, depleted: int = DEPLETED) -> DataFrame:
+    """The rows of ``docs`` with the text of their lines that are not over the limit, and removed_words and kept.
+
+    All rows are there, those that are rejected with ``kept`` false. Other lines and
+    those without a word stay as they are; a null text stays null. Columns of
+    ``docs`` named removed_words or kept are replaced.
+    """
+    rows = _judged(docs, limit, depleted, F.struct("*"))
+    text = F.col("row")["text"]
+    pairs = F.arrays_zip(F.split(text, "\n").alias("raw"), _every_line(text).alias("line"))
+    stays = F.filter(pairs, lambda x: (x["line"] == "") | ~F.array_contains("gone", F.xxhash64(x["line"])))
+    rebuilt = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(stays, lambda x: x["raw"]), "\n"))
+    columns = [rebuilt.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("removed_words", "kept")]
+    return rows.select(*columns, "removed_words", "kept")

@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from ruleweave.llm.quality_rules import quality_rules
+from ruleweave.llm.quality_rules import quality_rules, without_frequent_lines
 
 from .conftest import prose
 
@@ -47,3 +47,23 @@ def test_frequent_lines_deplete(spark):
     assert all(got[i]["removed_words"] == 84 and not got[i]["kept"] for i in range(30))
     assert all(got[100 + i]["removed_words"] == 84 and got[100 + i]["kept"] for i in range(30))
     assert got[200]["removed_words"] == 0 and got[200]["kept"]
+
+
+def test_texts_without_frequent_lines(spark, edge, nothing):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        mine = chr(97 + i // 26) + chr(97 + i % 26)  # digits are all 0 in lines that are compared
+        own = [" ".join(mine + "".join(rng.choices("pqrstuv", k=5)) for _ in range(60)), "", f"  Own\tLine {mine}  "]
+        rows.append((i, "\n".join([f"Page {i}  of 12", own[0], "Share this\tPAGE ", own[1], own[2], "share this page"]), "hot", "\n".join(own)))
+    rows.append((99, "Share this page\nand more", "cold", "Share this page\nand more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, want string")
+    got = without_frequent_lines(docs).collect()
+    assert len(got) == 61 and all(r["text"] == r["want"] for r in got)
+    digest = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in quality_rules(docs).collect()}
+    assert digest == {r["doc_id"]: (r["removed_words"], r["kept"]) for r in got}
+    before = {i: len(t.split()) for i, t, *_ in rows}
+    assert all(before[r["doc_id"]] - len(r["text"].split()) == r["removed_words"] for r in got)
+    same = without_frequent_lines(edge)
+    assert sorted(map(str, same.select(edge.columns).collect())) == sorted(map(str, edge.collect()))
+    assert without_frequent_lines(nothing).count() == 0

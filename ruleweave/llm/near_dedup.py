@@ -6,23 +6,23 @@ coordinates, so those that agree in fewer than ``matches`` of K are left out (wi
 K = 64, matches = 32 and s = 0.75 a link is missed with a chance of 5 in a million).
 Collisions are counted by prefix and skip merging: a document's postings are put
 in order of their frequency, postings that occur once are skipped, documents left
-with fewer than ``matches`` postings are skipped, and two documents that agree in
-``matches`` of them must meet in the prefixes of length n - matches + 1.
-
-Posting lists may be very long, so pairs are not made within a list at first. In
-rounds, each list draws a few leaders, each document is compared with the leader
-that it meets most often (one comparison a document and round), and the links found
-are contracted to components. What the rounds leave is compared in full, so that no
-link is lost: documents that meet the same leader most often are a neighbourhood,
-whose pairs are taken block by block; and lists whose members are in more than one
-component and neighbourhood give their pairs across both.
-Every link is confirmed on the documents' full shingle sets.
+with fewer than ``matches`` postings are skipped, two documents that agree in
+``matches`` of them must meet in the prefixes of length n - matches + 1, and pairs
+whose sizes differ too much are skipped before they are counted.
+
+No pair is put out in a list, as lists may be very long. First each document is
+compared once with the head of the lists that it is in most, which gives most
+members of a group of copies one label; lists of one label are skipped. The others
+are merged block by block in memory, and what comes out is one row for each
+document that has a partner at the threshold and each two tiles (bounded parts of
+a head's documents) where both lie. Those documents meet once more by tiles, with
+the hashes of their shingles, and every link is confirmed on full sets. Texts are
+not shuffled: the hashes of the documents that pass the prefix are made once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, python_ready, saved, tidy
+from .common import components, python_ready, saved
 
 COORDINATES = 64
 MATCHES = 32
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of one leader that are compared in one run of rows.
+#: Members of one head that are compared in one run of rows.
 CHUNK = 256
-#: Rounds in which documents are compared with leaders of their lists, and leaders drawn in each list and round.
-ROUNDS = 4
-LEADERS = 3
-#: Turns in which neighbourhoods are drawn.
-HOODS = 4
-#: Documents of a neighbourhood in one side of a block.
-BLOCK = 512
-#: Pairs between two neighbourhoods up to which they are made as rows.
-PAIRED = 2048
+#: Documents of a list in one side of a block.
+BLOCK = 1024
+#: Documents, and shingles of documents, in one tile.
+TILE = 512
+TILE_SHINGLES = 1_000_000
+#: Pairs whose collisions are counted at once, and pairs up to which sets are compared one by one.
+AT_ONCE = 200_000
+FEW = 64
 
 _MULTIPLIERS = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -114,20 +113,38 @@ def _sketches(coordinates: int, size: int):
     return run
 
 
-def _compared(size: int, percent: int):
-    """Rows come by leader and chunk, the leader's text first: keep members that link to it."""
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _shingles(size: int):
+    """(doc_id, text) to (doc_id, the sorted hashes of its set as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), hashes, size).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    return run
+
+
+def _links_to(u: list[int], v: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_LINKS)
+
+
+def _with_heads(percent: int):
+    """Rows come by head and chunk, the head's set first: members that link to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, now, mine = _WordHashes(), None, []
+        now, mine = None, []
         for batch in batches:
             u, v = [], []
-            cols = [batch.column(i).to_pylist() for i in range(4)]
-            for leader, chunk, doc, text in zip(*cols, strict=True):
-                s = shingle_set(text, hashes, size)
-                if (leader, chunk) != now:
-                    now, mine = (leader, chunk), []
-                if doc == leader:
+            heads, chunks, docs = (batch.column(i).to_pylist() for i in range(3))
+            for head, chunk, doc, held in zip(heads, chunks, docs, batch.column(3), strict=True):
+                s = np.frombuffer(held.as_buffer(), np.uint64)
+                if (head, chunk) != now:
+                    now, mine = (head, chunk), []
+                if doc == head:
                     mine.append(s)
                     continue
                 for x in mine:
@@ -136,102 +153,149 @@ def _compared(size: int, percent: int):
                     both = len(np.intersect1d(x, s, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(s) - both):
                         u.append(doc)
-                        v.append(leader)
+                        v.append(head)
                         break
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=out)
+            yield _links_to(u, v)
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, leader v) that link, by their texts' full sets."""
-    parts = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-    members = pairs.join(parts, "v").select(
-        F.col("u").alias("doc_id"), F.col("v").alias("leader"), F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("chunk")
-    )
-    leaders = parts.select(F.col("v").alias("doc_id"), F.col("v").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"))
-    rows = members.unionByName(leaders).join(texts, "doc_id")
-    rows = rows.select("leader", "chunk", "doc_id", "text").repartition("leader", "chunk")
-    rows = rows.sortWithinPartitions("leader", "chunk", F.col("doc_id") != F.col("leader"))
-    return rows.mapInArrow(_compared(size, percent), "u long, v long")
-
-
-def _all_pairs(size: int, percent: int):
-    """Rows come by hood and block: the links of a block's documents across components, one for each document and component."""
-    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def links(ids: list[int], comps: list[int], sides: list[int], sets: list[np.ndarray], same: bool) -> pa.RecordBatch:
-        doc, comp, n = np.array(ids), np.array(comps), np.array([len(s) for s in sets])
-        left, right = np.arange(len(doc)), np.arange(len(doc))
-        if not same:
-            left, right = np.flatnonzero(np.array(sides) == 0), np.flatnonzero(np.array(sides) == 1)
-        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        of = np.repeat(np.arange(len(doc)), n)
-        keep = times[at] > 1  # a shingle of one document is in no intersection
-        _, at = np.unique(at[keep], return_inverse=True)
-        of = of[keep]
-        order = np.argsort(at, kind="stable")
-        at, of = at[order], of[order]
-        both = np.zeros((len(left), len(right)), np.float32)
-        row, wide = np.full(len(doc), -1), at[-1] + 1 if len(at) else 0
-        for low in range(0, wide, 8192):  # intersections, by slices of the shingles
-            i, j = np.searchsorted(at, [low, low + 8192])
-            m = np.zeros((len(doc), min(8192, wide - low)), np.float32)
-            m[of[i:j], at[i:j] - low] = 1
-            both += m[left] @ m[right].T
-        union = n[left][:, None] + n[right][None, :] - both
-        hit = (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :])
-        x, y = np.nonzero(hit)
-        found = {(int(doc[left[i]]), int(comp[right[j]])): int(doc[right[j]]) for i, j in zip(x, y, strict=True)}
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64())], schema=out)
+def _head_links(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (rep, head) that link, by their full sets; a head's members come in chunks."""
+    parts = pairs.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    members = pairs.join(parts, "head").select("rep", "head", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("chunk"))
+    heads = parts.select(F.col("head").alias("rep"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"))
+    rows = members.unionByName(heads).join(shingles, "rep").select("head", "chunk", "rep", "shingles").repartition("head", "chunk")
+    return rows.sortWithinPartitions("head", "chunk", F.col("rep") != F.col("head")).mapInArrow(_with_heads(percent), "u long, v long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows that agree in the first ``keys`` columns, some at once: the rows, and where each group begins, and their number."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for i in range(keys):
+            k = rows.column(i).to_numpy()
+            new[1:] |= k[1:] != k[:-1]
+        return rows, np.append(np.flatnonzero(new), len(rows))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) < BLOCK:
+            continue
+        rows, starts = out()
+        if len(starts) > 2:
+            last = int(starts[-2])
+            yield rows.slice(0, last), starts[:-1]
+            held = rows.slice(last).combine_chunks().to_batches()
+    if held:
+        yield out()
+
+
+def _pairs_of(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (a, b), a < b, of all pairs within groups, some at once."""
+    n = int(starts[-1])
+    after = np.repeat(starts[1:], np.diff(starts)) - np.arange(n) - 1
+    total = np.cumsum(after)
+    low = 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + AT_ONCE, side="right")))
+        times = after[low:high]
+        a = np.repeat(np.arange(low, high), times)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+        if len(a):
+            yield a, b
+        low = high
+
+
+def _collisions(matches: int, percent: int):
+    """Rows come by list and block: count how often each two documents collide, and say which tiles hold pairs at or above the threshold.
+
+    The rows of a document say all that it was posted under, so a list that two documents
+    share gives the number of all lists that they share. Pairs with one label are linked
+    already, and pairs whose sizes differ too much can't be.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, now, held = _WordHashes(), None, ([], [], [], [])
-        for batch in batches:
-            for hood, low, high, side, doc, comp, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (hood, low, high) != now:
-                    if len(held[0]) > 1:
-                        yield links(*held, now[1] == now[2])
-                    now, held = (hood, low, high), ([], [], [], [])
-                for to, x in zip(held, (doc, comp, side, shingle_set(text, hashes, size)), strict=True):
-                    to.append(x)
-        if len(held[0]) > 1:
-            yield links(*held, now[1] == now[2])
+        for rows, starts in _groups(batches, 3):
+            side, rep, label, tile, n = (rows.column(c).to_numpy() for c in ("side", "rep", "label", "tile", "n_shingles"))
+            across = (rows.column("low").to_numpy() != rows.column("high").to_numpy())
+            posted = np.frombuffer(b"".join(rows.column("posted").to_pylist()), np.uint8).reshape(len(rows), -1)
+            found = set()
+            for a, b in _pairs_of(starts):
+                may = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (~across[a] | (side[a] != side[b]))
+                a, b = a[may], b[may]
+                hit = (posted[a] == posted[b]).sum(axis=1) >= matches
+                a, b = a[hit], b[hit]
+                low, high = np.minimum(tile[a], tile[b]), np.maximum(tile[a], tile[b])
+                for x in (a, b):
+                    found.update(map(tuple, np.unique(np.column_stack([low, high, rep[x]]), axis=0).tolist()))
+            columns = list(zip(*found, strict=True)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "rep"])
 
     return run
 
 
-def _hood_links(hoods: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) within hoods of (rep, comp, hood, parts): each pair of a hood's parts is a block."""
-    rows = hoods.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.select("hood", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select("hood", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.col("rep").alias("doc_id"), "comp")
-    return _block_links(rows, texts, size, percent)
-
-
-def _block_links(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    rows = rows.join(texts, "doc_id").select("hood", "low", "high", "side", "doc_id", "comp", "text")
-    rows = rows.repartition("hood", "low", "high").sortWithinPartitions("hood", "low", "high")
-    return rows.mapInArrow(_all_pairs(size, percent), "u long, v long")
+def _tile_links(percent: int):
+    """Rows come by pair of tiles (a, b): the links between both across labels, as few as connect the same documents."""
+
+    def links(docs: np.ndarray, labels: np.ndarray, right: np.ndarray, sets: list[np.ndarray], same: bool) -> pa.RecordBatch:
+        n = np.array([len(s) for s in sets])
+        left = np.arange(len(docs)) if same else np.flatnonzero(~right)
+        right = np.arange(len(docs)) if same else np.flatnonzero(right)
+        if len(left) * len(right) <= FEW:
+            x, y = np.divmod(np.arange(len(left) * len(right)), max(1, len(right)))
+            x, y = left[x], right[y]
+            may = (labels[x] != labels[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((x < y) | (not same))
+            x, y = x[may], y[may]
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
+            hit = 100 * both >= percent * (n[x] + n[y] - both)
+        else:
+            _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            of = np.repeat(np.arange(len(docs)), n)
+            keep = times[at] > 1  # a shingle of one document is in no intersection
+            _, at = np.unique(at[keep], return_inverse=True)
+            of = of[keep]
+            order = np.argsort(at, kind="stable")
+            at, of = at[order], of[order]
+            both = np.zeros((len(left), len(right)), np.float32)
+            wide = int(at[-1]) + 1 if len(at) else 0
+            for low in range(0, wide, 8192):  # intersections, by slices of the shingles
+                i, j = np.searchsorted(at, [low, low + 8192])
+                m = np.zeros((len(docs), min(8192, wide - low)), np.float32)
+                m[of[i:j], at[i:j] - low] = 1
+                both += m[left] @ m[right].T
+            hit = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
+            x, y = np.nonzero(hit & (labels[left][:, None] != labels[right][None, :]))
+            x, y, hit = left[x], right[y], slice(None)
+        x, y = x[hit], y[hit]
+        least = np.arange(len(docs))
+        while len(x):  # the smallest place that each document is connected with
+            before = least.copy()
+            np.minimum.at(least, x, before[y])
+            np.minimum.at(least, y, before[x])
+            least = least[least]
+            if (least == before).all():
+                break
+        new = np.flatnonzero((least != np.arange(len(docs))) & (docs != docs[least]))
+        return _links_to(docs[new].tolist(), docs[least[new]].tolist())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _groups(batches, 2):
+            a, b, docs, labels, tiles = (rows.column(c).to_numpy() for c in ("a", "b", "rep", "label", "tile"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield links(docs[i:j], labels[i:j], tiles[i:j] == b[i], sets[i:j], a[i] == b[i])
 
-def _cross_links(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between the members of two hoods, for pairs (hood0, hood0_, m, m_) of hoods with their sizes."""
-    parts = [F.ceil(F.col(x) / BLOCK).cast("int") for x in ("m", "m_")]
-    sides = []
-    for side, (mine, others) in enumerate((parts, parts[::-1])):
-        to = members.select("rep", "comp", F.col("hood0").alias(("hood0", "hood0_")[side]))
-        part = F.pmod(F.xxhash64("rep"), mine).cast("int").alias("part")
-        rows = pairs.join(to, ("hood0", "hood0_")[side]).select("hood0", "hood0_", "rep", "comp", part, F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
-        low, high = (F.col("part"), F.col("other")) if side == 0 else (F.col("other"), F.col("part"))
-        # sides are never the same part, so their numbers are kept apart
-        sides.append(rows.select(F.xxhash64("hood0", "hood0_").alias("hood"), low.alias("low"), (high + 2**30).alias("high"), F.lit(side).alias("side"), F.col("rep").alias("doc_id"), "comp"))
-    return _block_links(sides[0].unionByName(sides[1]), texts, size, percent)
+    return run
 
 
-def near_duplicates(
-    docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, size: int = SHINGLE_WORDS, percent: int = PERCENT, rounds: int = ROUNDS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id and kept.
 
     Documents are the vertices, named by doc_id. Rows that repeat a doc_id are
@@ -247,91 +311,58 @@ def near_duplicates(
     real = sketch.where("doc_id is not null and set_key is not null")
 
     # equal sets are one vertex: the smallest doc_id stands for them
-    classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    classes = saved(classes, "classes")
+    classes = saved(real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+
+    # postings under each coordinate and value; rare lists first; a document's prefix is all but its last matches - 1 lists
     postings = classes.select("rep", F.posexplode("sig").alias("at", "value")).select(
         "rep", (F.col("value").cast("long") * coordinates + F.col("at")).alias("token")
     )
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = postings.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))
-    prefixes = shared.where(F.size("held") >= matches).select(
-        "rep", F.explode(F.expr(f"slice(held, 1, size(held) - {matches - 1})")).alias("x")
-    )
-    prefixes = saved(prefixes.select("rep", F.col("x.token").alias("token")), "prefixes")
-    texts = docs.join(prefixes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = saved(texts, "texts")
-
-    # rounds: each document against a leader that it meets in most lists; what links is contracted
-    links: DataFrame | None = None
-    placed = saved(prefixes.select("token", "rep", F.col("rep").alias("comp"), F.lit(1).cast("long").alias("members")), "placed")
-    for turn in range(rounds):
-        order = [F.struct(F.xxhash64("rep", F.lit(turn * LEADERS + i)).alias("h"), "rep", "comp", "members") for i in range(LEADERS)]
-        heads = placed.groupBy("token").agg(F.array(*[F.min(x) for x in order]).alias("heads"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-        heads = heads.where("a < b").select("token", F.expr("array_distinct(transform(heads, x -> struct(x.rep as v, x.comp as vc, x.members as vm)))").alias("heads"))
-        met = placed.join(heads, "token").select("rep", "comp", "members", F.explode("heads").alias("x")).where("comp != x.vc")
-        # of two components the smaller one's members look for a leader in the other
-        met = met.where("members < x.vm or (members = x.vm and comp > x.vc)").groupBy(F.col("rep").alias("u"), F.col("x.v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        best = met.groupBy("u").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("u", (-F.col("x.col2")).alias("v"))
-        found = saved(_links(best, texts, size, percent), "links")
-        new, old = found.count(), 0 if links is None else links.count()
-        if not new:
-            break
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-        label = saved(label.join(sizes, "label").select("node", "label", "members"), "labels")
-        placed = prefixes.join(label, prefixes.rep == label.node, "left")
-        placed = saved(placed.select("token", "rep", F.coalesce("label", "rep").alias("comp"), F.coalesce("members", F.lit(1)).alias("members")), "placed")
-        if new * 10 < old:
-            break
-
-    # neighbourhoods: documents by the leader that they meet most often; all their pairs, block by block.
-    # Each turn draws other leaders, so that few near pairs are never in one neighbourhood.
-    left, within = placed.select("token", "rep", "comp"), None
-    for turn in range(HOODS):
-        heads = left.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep", F.lit(f"hood {turn}")).alias("h"), "rep")).alias("x")).select("token", F.col("x.rep").alias("v"))
-        met = left.join(heads, "token").groupBy("rep", "comp", "v").agg(F.count(F.lit(1)).alias("n"))
-        hood = met.groupBy("rep", "comp").agg(F.max(F.struct("n", -F.col("v"))).alias("x")).select("rep", "comp", (-F.col("x.col2")).alias("hood"))
-        hood = saved(hood, "hoods")
-        open_hoods = hood.groupBy("hood").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("a < b")
-        found = saved(_hood_links(hood.join(open_hoods.select("hood", "parts"), "hood"), texts, size, percent), "links")
-        within = found if within is None else within.unionByName(found)
-        left = left.join(hood.select("rep", F.col("hood").alias(f"hood{turn}")), "rep")
-        several = [F.min(x) < F.max(x) for x in ["comp", *[f"hood{i}" for i in range(turn + 1)]]]
-        mixed = left.groupBy("token").agg(reduce(lambda a, b: a & b, several).alias("mixed")).where("mixed").select("token")
-        left = saved(left.join(mixed, "token"), "mixed")
-        tidy(spark)
-
-    # lists that still hold more than one of each: pairs that were in no neighbourhood, by pairs of neighbourhoods.
-    # Where these share many lists, all their members are paired once; large ones go block by block like a neighbourhood.
-    hoods = [f"hood{i}" for i in range(HOODS)]
-    apart = " and ".join(f"{x} != {x}_" for x in ("comp", *hoods[1:]))
-    parts = saved(left.groupBy("token", "hood0").agg(F.count(F.lit(1)).alias("n")), "parts")
-    across = parts.join(parts.select("token", *[F.col(x).alias(x + "_") for x in ("hood0", "n")]), "token").where("hood0 < hood0_")
-    members = saved(left.select("rep", "comp", *hoods).distinct(), "members")
-    size_of = members.groupBy("hood0").agg(F.count(F.lit(1)).alias("m"))
-    plan = across.groupBy("hood0", "hood0_").agg(F.sum(F.col("n") * F.col("n_")).alias("by_lists"))
-    plan = plan.join(size_of, "hood0").join(size_of.select(F.col("hood0").alias("hood0_"), F.col("m").alias("m_")), "hood0_")
-    dense = saved(plan.where("m * m_ < by_lists"), "dense")
-    other = members.select(*[F.col(x).alias(x + "_") for x in members.columns])
-    whole = dense.where(F.col("m") * F.col("m_") <= PAIRED).join(members, "hood0").join(other, "hood0_").where(apart)
-    listed = left.select("token", "rep", "comp", *hoods)
-    lists = across.join(dense, ["hood0", "hood0_"], "left_anti").join(listed, ["token", "hood0"])
-    lists = lists.join(listed.select(*[F.col(x).alias(x if x == "token" else x + "_") for x in listed.columns]), ["token", "hood0_"]).where(apart)
-    within = within.unionByName(_cross_links(dense.where(F.col("m") * F.col("m_") > PAIRED), members, texts, size, percent))
-    pairs = whole.select("rep", "rep_").unionByName(lists.select("rep", "rep_"))
-    pairs = pairs.select(F.least("rep", "rep_").alias("v"), F.greatest("rep", "rep_").alias("u")).distinct()
-    sigs = classes.select("rep", "sig")
-    pairs = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("s1")), "u")
-    pairs = pairs.join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("s2")), "v")
-    agree = F.aggregate(F.zip_with("s1", "s2", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = saved(pairs.where(agree >= matches).select("u", "v").distinct(), "pairs")
-    last = within.unionByName(_links(pairs, texts, size, percent))
-
-    edges = last if links is None else links.unionByName(last)
+    shared = postings.join(often, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held")).where(F.size("held") >= matches)
+    prefix = F.transform(F.slice("held", 1, F.size("held") - (matches - 1)), lambda x: x["token"])
+    score = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["df"])
+    prefixes = saved(shared.select("rep", prefix.alias("prefix"), score.alias("score")), "prefixes")
+    candidates = prefixes.select("rep").distinct()
+    shingles = docs.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingles(size), "rep long, shingles binary")
+    shingles = saved(shingles, "shingles")
+
+    # the head of a list is its document with the fullest lists; the head that a document meets most is its home.
+    # One comparison with it contracts most of a group of near copies, so that lists of one label are done
+    entries = prefixes.select("rep", "score", F.explode("prefix").alias("token"))
+    heads = entries.groupBy("token").agg(F.max(F.struct("score", "rep")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = saved(heads.select("token", F.col("x.rep").alias("head"), F.col("x.score").alias("of")), "heads")
+    met = entries.join(heads, "token").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of"))
+    home = saved(met.groupBy("rep").agg(F.max(F.struct("n", "of", "head")).alias("x")).select("rep", F.col("x.head").alias("head")), "home")
+    near = saved(_head_links(home.where("rep != head"), shingles, percent), "links")
+
+    # a home's documents are dealt into tiles of a bounded size
+    labelled = home.join(near.select(F.col("u").alias("rep"), F.col("v").alias("label")).distinct(), "rep", "left")
+    members = labelled.join(classes.select("rep", "sig", "n_shingles"), "rep")
+    homes = members.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"))
+    homes = homes.select("head", F.ceil(F.greatest(F.col("n") / TILE, F.col("all") / TILE_SHINGLES)).alias("parts"))
+    tile = F.xxhash64("head", F.pmod(F.xxhash64("rep", F.lit("tile")), F.col("parts")))
+    # a byte of each value is enough to count by: it can only add to a count, and every link is confirmed
+    posted = F.unhex(F.array_join(F.transform("sig", lambda x: F.lpad(F.hex(x.bitwiseAND(255).cast("long")), 2, "0")), ""))
+    members = members.join(homes, "head").select("rep", F.coalesce("label", "rep").alias("label"), tile.alias("tile"), "n_shingles", posted.alias("posted"))
+    members = saved(members, "members")
+
+    # lists with more than one label: count collisions, block by block where a list is long
+    entries = prefixes.select("rep", F.explode("prefix").alias("token")).join(members, "rep")
+    lists = entries.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    lists = saved(lists.where("x < y").select("token", "blocks"), "lists")
+    rows = entries.join(lists, "token").withColumn("part", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "label", "tile", "n_shingles", "posted")
+    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    meets = saved(rows.mapInArrow(_collisions(matches, percent), "a long, b long, rep long").distinct(), "meets")
+
+    # the documents with pairs at the threshold, by their tiles: confirm links on full sets
+    rows = meets.join(members.select("rep", "label", "tile").distinct(), "rep").join(shingles, "rep").select("a", "b", "rep", "label", "tile", "shingles")
+    far = rows.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_tile_links(percent), "u long, v long")
+
     # classes whose sets are equal, and rows that repeat a doc_id, meet at that doc_id
     same = real.join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v")
-    final = components(edges.unionByName(same))
+    final = components(near.unionByName(far).unionByName(same))
     out = sketch.select("doc_id", "n_shingles").join(final, sketch.doc_id == final.node, "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -98,8 +98,8 @@ def test_signatures_agree_as_often_as_sets():
 def test_small_blocks_find_the_same(spark, monkeypatch):
     from ruleweave.llm import near_dedup as nd
 
-    for name, value in {"BLOCK": 7, "PAIRED": 0, "CHUNK": 3, "ROUNDS": 1, "HOODS": 1}.items():
+    for name, value in {"BLOCK": 7, "TILE": 5, "CHUNK": 3, "AT_ONCE": 11, "FEW": 0}.items():
         monkeypatch.setattr(nd, name, value)
     rows = corpus(3, hot=120)
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == brute(rows)

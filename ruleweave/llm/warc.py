@@ -10,6 +10,8 @@ files small by the number of records in each.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -32,8 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
-#: Bytes of a corrupt member that are inflated at once.
-_CHUNK = 65_536
+#: Bytes of a member that are inflated at once. What a member's last slice holds of the next is copied, so slices are small.
+_CHUNK = 16_384
 #: A gzip member of nothing, which Spark's text writer puts between records.
 _EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003") + bytes.fromhex("0300") + bytes(8)
 
@@ -61,10 +63,12 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True, date: str
     python_ready(pages.sparkSession)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
-    long = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-    firsts = long.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    firsts = saved(firsts.select(F.col("digest").alias("of"), "first"), "first")  # once written, Spark knows its size and picks the join by it
-    rows = rows.join(firsts, (rows.digest == firsts.of) & (F.octet_length("payload") >= LEAST_REVISIT), "left")
+    # payloads are equal by digest, length and a second hash
+    rows = rows.withColumn("hash", F.xxhash64("payload")).withColumn("length", F.octet_length("payload"))
+    long = rows.where(F.col("length") >= LEAST_REVISIT)
+    firsts = long.groupBy("digest", "hash", "length").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    firsts = saved(firsts.drop("n").withColumnsRenamed({"digest": "_digest", "hash": "_hash", "length": "_length"}), "first")  # once written, Spark knows its size and picks the join by it
+    rows = rows.join(firsts, (rows.digest == firsts._digest) & (rows.hash == firsts._hash) & (rows.length == firsts._length), "left")
     rows = rows.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +130,33 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, data[start:end], end + 4
 
 
+def _stated(digest: str | None) -> str | None:
+    """A SHA-1 digest of a header in hex; headers have it in hex or in base 32. Other digests are left unchecked."""
+    name, _, value = (digest or "").partition(":")
+    if name.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper()).hex() if len(value) == 32 else None
+    except binascii.Error:
+        return None
+
+
 def _checked(headers: dict[str, str], block: bytes, start: int, end: int) -> Found:
+    whole = _stated(headers.get("warc-block-digest"))
+    if whole and whole != hashlib.sha1(block).hexdigest():
+        raise Damaged("the block doesn't have its digest")
     head, blank, payload = block.partition(b"\r\n\r\n")
     if not headers.get("content-type", "").startswith("application/http"):
         head, payload = b"", block
     length = re.search(rb"(?im)^content-length:\s*([0-9]{1,15})\s*$", head)
-    stated = headers.get("warc-payload-digest", "").removeprefix("sha1:").lower() or None
+    stated = _stated(headers.get("warc-payload-digest"))
     if headers.get("warc-type") == "revisit":
         return Found(start, end, None, headers, b"", int(length[1]) if length else 0, stated)
     actual = hashlib.sha1(payload).hexdigest()
-    if stated and len(stated) == 40 and stated != actual:
+    if stated and stated != actual:
         raise Damaged("the payload doesn't have its digest")
     return Found(start, end, None, headers, payload, len(payload), actual)
 
@@ -179,10 +200,14 @@ def _before_error(data: bytes, at: int) -> tuple[bytes, int]:
 def _at(data: bytes, at: int) -> tuple[list[Found], int]:
     """The records and gaps of the member or record that begins at ``at``, and its end."""
     if data.startswith(_GZIP, at):
-        z, why = zlib.decompressobj(31), None
+        z, why, view = zlib.decompressobj(31), None, memoryview(data)
+        parts, end = [], at
         try:
-            inner = z.decompress(memoryview(data)[at:])
-            end = len(data) - len(z.unused_data)
+            while not z.eof and end < len(data):
+                parts.append(z.decompress(view[end : end + _CHUNK]))
+                end = min(end + _CHUNK, len(data))
+            inner = b"".join(parts)
+            end -= len(z.unused_data)
             if not z.eof:
                 why = "gzip: the member has no end"
         except zlib.error as e:

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import random
@@ -122,3 +123,32 @@ def test_a_damaged_member_keeps_its_valid_records(level):
     turned = bytearray(member)
     turned[-6] ^= 0xFF
     assert 9 in ids(salvage(bytes(turned) + after))
+
+
+def test_digests_in_base_32_and_of_blocks():
+    p = b"payload " * 20
+    good, other = (base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (p, b"other"))
+    hexed = hashlib.sha1(p).hexdigest()
+    for stated, valid in ((good, True), (good.lower(), True), (other, False), (hexed.upper(), True), ("not a digest", True)):
+        (found,) = salvage(_record(1, "u", p, stated, None, "d"))
+        assert (found.reason is None) == valid
+        if valid:
+            assert found.digest == hexed
+    # revisits state the digest of the full payload, in either form
+    (found,) = salvage(_record(1, "u", p, good, 2, "d"))
+    assert found.digest == hexed and found.payload_bytes == len(p)
+    record = _record(1, "u", p, hexed, None, "d")
+    block = record.partition(b"\r\n\r\n")[2][:-4]
+    for data, valid in ((block, True), (b"x", False)):
+        line = b"WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(data).digest()) + b"\r\nContent-Type: application/http"
+        (found,) = salvage(record.replace(b"Content-Type: application/http", line, 1))
+        assert (found.reason is None) == valid
+
+
+def test_members_longer_than_a_slice_and_many_short_ones():
+    rng = random.Random(9)
+    sizes = [70_000, 1, 16_384, 40_000, *[10] * 500]
+    payloads = [rng.randbytes(n) for n in sizes]
+    data = b"".join(gzip.compress(_record(i, "u", p, hashlib.sha1(p).hexdigest(), None, "d")) for i, p in enumerate(payloads))
+    found = list(salvage(data))
+    assert [f.payload for f in found] == payloads and found[-1].end == len(data)

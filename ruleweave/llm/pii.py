@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
-Base spans come from four patterns. Then their words on the left become lexical
-patterns: a pattern is the two words before an identifier-shaped token. Spark
-scores the graph of patterns and instances in rounds: a pattern is trusted by the
-share of its instances that are trusted, an instance by the patterns that hold it
-(noisy or), base spans fully. Patterns of high confidence and enough seeds turn
-the other instances they precede into spans of the kind ``id``.
+Base spans come from four patterns. Besides, every token with a digit or an @ may be
+an identifier. The seeds are the base spans and the tokens that look like a random
+key (:func:`secret`). A lexical pattern is the two words, or the word and the mark
+of assignment, before a token. Spark scores the graph of patterns and instances in
+rounds: a pattern's confidence is the mean trust of its instances, an instance is
+trusted by the patterns that hold it (noisy or over those of confidence above a
+half), seeds fully. Instances that become trusted count as seeds of further patterns
+in the next round. Patterns of high confidence and enough trusted instances turn
+every token that they precede into a span of the kind ``id``, whatever it looks like.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ from .common import python_ready, saved
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = "id"
 ROUNDS = 4
-#: A trusted pattern has at least this confidence and so many different seeds.
+#: A trusted pattern has at least this confidence and so many different trusted instances.
 CONFIDENCE = 0.9
 LEAST_SEEDS = 5
-#: Identifier-shaped: a token of at most so many characters with at least so many digits, or with an @.
-LONGEST_TOKEN = 100
-LEAST_DIGITS = 6
+#: Confidence from which a pattern passes trust on, and trust from which an instance counts as a seed.
+PASSES = 0.5
+TRUSTED = 0.9
+#: A run of letters and digits of at least so many characters, with so many changes between letters and digits, looks like a random key.
+KEY_RUN = 16
+KEY_CHANGES = 4
 
 # Fixed patterns. Runs of digits and of what stands between them hold all matches but those of email.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -39,7 +45,11 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile(r"[0-9]")
-_EDGE = re.compile(r"^[\"'(<\[{:=]+|[\"')>\]},;:.!?]+$")
+#: What tokens end at, besides white space; marks of assignment are words of a context.
+_ENDS = frozenset("\"'`()<>[]{}|,;=:")
+_ASSIGNS = frozenset("=:")
+_KEY = re.compile(r"[A-Za-z0-9]{%d,}" % KEY_RUN)
+_CHANGE = re.compile(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -77,7 +87,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         if end - start < 7:
             continue
         for m in _IP.finditer(text, start, end):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m.group().split("."))):
                 out["ip"].append(m.span())
         for m in _CARD.finditer(text, start, end):
             if m.end() - m.start() >= 16:
@@ -90,43 +100,63 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def secret(token: str) -> bool:
+    """Whether a token holds a long run of letters and digits in turns, as random keys do."""
+    return any(len(_CHANGE.findall(run)) >= KEY_CHANGES for run in _KEY.findall(token))
+
+
+def _inside(c: str) -> bool:
+    return not c.isspace() and c not in _ENDS
+
+
 def _words_before(text: str, at: int, count: int = 2) -> str:
-    """The words before a place, in lower case, digits as 0."""
-    low = max(0, at - 120)
-    words = text[low:at].lower().split()[-count:]
-    return _DIGITS.sub("0", " ".join(x[-40:] for x in words))
+    """The words and marks of assignment before a place, in lower case, digits as 0; ``^`` stands for the start of the text."""
+    words: list[str] = []
+    while len(words) < count:
+        while at and not _inside(text[at - 1]) and text[at - 1] not in _ASSIGNS:
+            at -= 1
+        if not at:
+            words.append("^")
+            continue
+        end = at
+        if text[at - 1] in _ASSIGNS:
+            at -= 1
+        else:
+            while at and _inside(text[at - 1]):
+                at -= 1
+        words.append(_DIGITS.sub("0", text[at:end].lower()))
+    pattern = " ".join(reversed(words))
+    # a long pattern goes by its hash
+    return pattern if len(pattern) <= 80 else "#" + hashlib.blake2b(pattern.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, str, int, int, bool]]:
-    """(pattern, instance, start, end, is a seed): the base spans, and other identifier-shaped tokens."""
+def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, str, int, int, bool, bool]]:
+    """(pattern, instance, start, end, is a seed, is a base span): the base spans, and other tokens with a digit or an @."""
     taken = sorted((s, e) for spans in base.values() for s, e in spans)
-    out = [(_words_before(text, s), text[s:e].lower(), s, e, True) for s, e in taken]
+    out = [(_words_before(text, s), text[s:e].lower(), s, e, True, True) for s, e in taken]
     done = k = 0
     for run in re.finditer(r"[0-9]+|@", text):
         if run.start() < done:
             continue
         start, end = run.start(), run.end()
-        while start > done and end - start <= LONGEST_TOKEN and not text[start - 1].isspace():
+        while start > done and _inside(text[start - 1]):
             start -= 1
-        while end < len(text) and end - start <= LONGEST_TOKEN and not text[end].isspace():
+        while end < len(text) and _inside(text[end]):
             end += 1
         done = end
-        token = text[start:end]
-        if len(token) > LONGEST_TOKEN or "@" not in token and len(_DIGITS.findall(token)) < LEAST_DIGITS:
-            continue
-        lead = re.match(r"[\"'(<\[{:=]*", token).end()
-        tail = len(token) - len(token[lead:].rstrip("\"')>]},;:.!?")) - lead
-        start, end = start + lead, end - tail
+        end -= len(text[start:end]) - len(text[start:end].rstrip(".!?"))
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if end - start < 3 or k < len(taken) and taken[k][0] < end:
+        if end <= start or k < len(taken) and taken[k][0] < end:  # base spans stay as they are
             continue
-        out.append((_words_before(text, start), text[start:end].lower(), start, end, False))
-    return [x for x in out if x[0]]
+        token = text[start:end]
+        if token != "@":
+            out.append((_words_before(text, start), token.lower(), start, end, secret(token), False))
+    return out
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, held array<struct<pattern:string,instance:long,start:int,`end`:int,seed:boolean>>"
-_HELD = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
+_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, held array<struct<pattern:string,instance:long,start:int,`end`:int,seed:boolean,base:boolean>>"
+_HELD = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("base", pa.bool_())]))
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,36 +169,38 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[k].append(len(base[k]))
             spans.append(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in base[k]))
             key = lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            held.append([(p, key(i), s, e, seed) for p, i, s, e, seed in instances(text, base)])
+            held.append([(p, key(i), *rest) for p, i, *rest in instances(text, base)])
         columns = [batch.column(0), *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(spans, pa.string()), pa.array(held, _HELD)]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in KINDS], "base_spans", "held"])
 
 
 def trusted_patterns(held: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = LEAST_SEEDS) -> DataFrame:
-    """Patterns (pattern, confidence) to trust, from occurrences (pattern, instance, seed)."""
-    edges = held.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    least = edges.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds")).where(F.col("seeds") >= 1).select("pattern")
-    edges = saved(edges.join(least, "pattern", "left_semi"), "edges")
+    """Patterns (pattern, confidence) to trust, from occurrences (pattern, instance, seed).
+
+    All patterns stay in the graph: one without a seed can be trusted for the
+    instances that others made trusted.
+    """
+    edges = saved(held.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"))
     patterns = edges
     for _ in range(rounds):
-        patterns = edges.join(trust, "instance").groupBy("pattern").agg(F.avg("trust").alias("confidence"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
-        patterns = saved(patterns, "patterns")
+        # seeds are counted anew in each round: what was found since counts
+        patterns = edges.join(trust, "instance").groupBy("pattern").agg(F.avg("trust").alias("confidence"), F.count(F.when(F.col("trust") >= TRUSTED, 1)).alias("seeds"))
+        patterns = saved(patterns.where((F.col("seeds") >= seeds) & (F.col("confidence") >= PASSES)), "patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))
-        firm = patterns.where(F.col("seeds") >= seeds)
-        scored = edges.join(firm, "pattern").groupBy("instance").agg((1 - doubt).alias("score"))
+        scored = edges.join(patterns, "pattern").groupBy("instance").agg((1 - doubt).alias("score"))
         seen = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
         trust = seen.join(scored, "instance", "left").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("trust"))
         trust = saved(trust, "trust")
-    return patterns.where((F.col("seeds") >= seeds) & (F.col("confidence") >= confidence)).select("pattern", "confidence")
+    return patterns.where(F.col("confidence") >= confidence).select("pattern", "confidence")
 
 
 def personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = LEAST_SEEDS) -> DataFrame:
-    """One row a document: doc_id, the numbers of base spans, base_sha256, spans and n_id.
+    """One row a document: doc_id, the numbers of base spans, base_sha256, spans, n_id and n_spans.
 
     ``spans`` joins kind:start:end of the base spans, by kind and start, and then of
     the spans of kind ``id`` that trusted contexts add; those never overlap base
-    spans. A null text is an empty one, whose spans are the empty string. Repeated
+    spans. ``n_spans`` counts both. A null text is an empty one, whose spans are the empty string. Repeated
     rows and null ids are searched each. An empty table gives an empty result;
     other columns are not read.
     """
@@ -177,12 +209,13 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CON
     found = saved(found.withColumn("row", F.monotonically_increasing_id()), "found")
     held = found.select("row", F.explode("held").alias("x")).select("row", "x.*")
     trusted = trusted_patterns(held.select("pattern", "instance", "seed"), rounds, confidence, seeds)
-    added = held.where("not seed").join(trusted, "pattern", "left_semi")
+    added = held.where("not base").join(trusted, "pattern", "left_semi")
     added = added.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("added"))
     added = saved(added, "added")
     out = found.drop("held").join(added, "row", "left")
     more = F.transform("added", lambda x: F.concat_ws(":", F.lit(EXTRA), x["start"].cast("string"), x["end"].cast("string")))
     spans = F.concat_ws(",", F.nullif("base_spans", F.lit("")), F.nullif(F.array_join(more, ","), F.lit("")))
+    n_id = F.coalesce(F.size("added"), F.lit(0)).cast("long")
     return out.select(
-        "doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), spans.alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_id")
+        "doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), spans.alias("spans"), n_id.alias("n_id"), (sum((F.col(f"n_{k}") for k in KINDS), n_id)).alias("n_spans"),
     )

@@ -6,10 +6,11 @@ forward algorithm; pieces do not cross white space, so a text's log-probability
 is the sum over its words, and each distinct word of a batch is summed up once.
 The distributions are fitted by expectation-maximisation over the same sums.
 
-The forward algorithm runs over all words of one length at a time, along a trie
-of the pieces' bytes. Words are taken in lower case, with a mark for their start;
-those over ``LONGEST`` bytes are cut there. Single bytes are pieces too (the
-vocabulary's byte fallback), so every word has a probability in every language.
+The forward algorithm runs over many words at a time, along a trie of the pieces'
+bytes; it keeps as many columns as the longest piece has bytes, so words of any
+length are summed over all their segmentations. Words are taken in lower case, with
+a mark for their start. Single bytes are pieces too (the vocabulary's byte
+fallback), so every word has a probability in every language.
 """
 
 from __future__ import annotations
@@ -32,12 +33,18 @@ VOCABULARY = "piece_bpe_32k.model"
 TRAINING_DOCUMENTS = 2000
 ROUNDS = 3
 SMOOTHING = 0.05
-LONGEST = 64
+#: Words up to this length are summed with those of the same length, longer ones with those of up to twice their length.
+ALIKE = 64
+#: Bytes of words that are held at once, and steps between two scalings, which keep products above the least double.
+CELLS = 2_000_000
+SCALED = 24
+#: Bytes of the distributions (pieces by languages) that are shipped to executors at most.
+SHIPPED = 1 << 30
 #: Documents whose distinct words are held and scored at once.
 AT_ONCE = 1500
 UNKNOWN = "und"
 _START = 0xFF  # stands for the word-start mark; no UTF-8 text holds this byte
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
@@ -81,20 +88,26 @@ def pieces_of(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _lengths(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By length: the bytes of the parts of that length, and each part's word."""
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numbers that are no digits, such as a half, are none."""
+    return any(any(map(str.isalpha, run.group())) for run in _LETTER.finditer(text))
+
+
+def _lengths(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of like length: their bytes (filled up with a byte that is in no text), their lengths, and their places."""
     by: dict[int, tuple[list[bytes], list[int]]] = {}
     for k, word in enumerate(words):
-        b = word.lower().encode("utf-8", "surrogatepass")
-        first = b"\xff" + b[: LONGEST - 1]
-        for part in (first, *(b[i : i + LONGEST] for i in range(LONGEST - 1, len(b), LONGEST))):
-            parts, of = by.setdefault(len(part), ([], []))
-            parts.append(part)
-            of.append(k)
-    for n, (parts, of) in by.items():
-        for i in range(0, len(parts), 20_000):
-            some = parts[i : i + 20_000]
-            yield np.frombuffer(b"".join(some), np.uint8).reshape(len(some), n), np.array(of[i : i + 20_000])
+        b = b"\xff" + word.lower().encode("utf-8", "surrogatepass")
+        parts, of = by.setdefault(len(b) if len(b) <= ALIKE else -(len(b) - 1).bit_length(), ([], []))
+        parts.append(b)
+        of.append(k)
+    for parts, of in by.values():
+        most = max(1, CELLS // max(map(len, parts)))
+        for i in range(0, len(parts), min(20_000, most)):
+            some = parts[i : i + min(20_000, most)]
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            n = int(lengths.max())
+            yield np.frombuffer(b"".join(x.ljust(n, b"\xfe") for x in some), np.uint8).reshape(len(some), n), lengths, np.array(of[i : i + len(some)])
 
 
 def _edges(symbols: np.ndarray, trie: Pieces) -> Iterator[tuple[int, int, np.ndarray | slice, np.ndarray]]:
@@ -118,20 +131,28 @@ def _edges(symbols: np.ndarray, trie: Pieces) -> Iterator[tuple[int, int, np.nda
 def word_scores(words: list[str], p: np.ndarray, trie: Pieces) -> np.ndarray:
     """log p(word) in each language, the columns of ``p`` (probability by piece and language)."""
     out = np.zeros((len(words), p.shape[1]))
-    for symbols, of in _lengths(words):
-        n = symbols.shape[1]
-        a = np.zeros((n + 1, len(symbols), p.shape[1]))
+    ring = trie.longest + 1  # a piece ends so many columns ahead at most
+    for symbols, lengths, of in _lengths(words):
+        rows, n = symbols.shape
+        a = np.zeros((ring, rows, p.shape[1]))
         a[0] = 1
-        scale, at = np.zeros(len(symbols)), 0
-        for j, end, rows, ids in _edges(symbols, trie):
+        scale, at = np.zeros(rows), 0
+
+        def ended(j: int, a=a, lengths=lengths, scale=scale, of=of) -> None:
+            if len(done := np.flatnonzero(lengths == j)):
+                out[of[done]] = np.log(a[j % ring, done]) + scale[done, None]
+
+        for j, end, some, ids in _edges(symbols, trie):
             if j != at:
+                ended(j)
+                a[at % ring] = 0
                 at = j
-                if j % 24 == 0:  # keeps products above the least double
-                    top = a[j].max(axis=1)
-                    a[j:] /= top[None, :, None]
+                if j % SCALED == 0:
+                    top = a[j % ring].max(axis=1)
+                    a /= top[None, :, None]
                     scale += np.log(top)
-            a[end, rows] += a[j, rows] * p[ids]
-        np.add.at(out, of, np.log(a[n]) + scale[:, None])
+            a[end % ring, some] += a[j % ring, some] * p[ids]
+        ended(n)
     return out
 
 
@@ -139,19 +160,36 @@ def expected_counts(words: dict[str, int], p: np.ndarray, trie: Pieces) -> np.nd
     """Expected uses of each piece (one language) in words with their counts, by forward and backward sums."""
     out = np.zeros(trie.count)
     names, times = list(words), np.fromiter(words.values(), float, len(words))
-    for symbols, of in _lengths(names):
-        n = symbols.shape[1]
-        a, b = np.zeros((n + 1, len(symbols))), np.zeros((n + 1, len(symbols)))
-        a[0] = b[n] = 1
+    for symbols, lengths, of in _lengths(names):
+        rows, n = symbols.shape
+        a, b = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
+        a[0] = 1
         edges = list(_edges(symbols, trie))
-        boost = 1 / p[p > 0].max()  # every piece is scaled by its length in bytes, so long words stay in range
-        for j, end, rows, ids in edges:
-            a[end, rows] += a[j, rows] * p[ids] * boost ** (end - j)
-        for j, end, rows, ids in reversed(edges):
-            b[j, rows] += b[end, rows] * p[ids] * boost ** (end - j)
-        share = times[of] / a[n]
-        for j, end, rows, ids in edges:
-            np.add.at(out, ids, a[j, rows] * p[ids] * boost ** (end - j) * b[end, rows] * share[rows])
+        scale, scales, at = np.zeros(rows), np.zeros((n // SCALED + 1, rows)), 0
+        for j, end, some, ids in edges:
+            if j != at:
+                at = j
+                if j % SCALED == 0:  # all columns from here on are scaled alike
+                    top = a[j]
+                    scale += np.log(top)
+                    a[j + 1 : j + trie.longest + 1] /= top
+                    a[j] = 1
+                    scales[j // SCALED] = scale
+            a[end, some] += a[j, some] * p[ids]
+        z = np.log(a[lengths, np.arange(rows)]) + scales[np.minimum(lengths, n - 1) // SCALED, np.arange(rows)]
+        behind, at = np.zeros(rows), n + 1
+        for j, end, some, ids in reversed(edges):
+            if j != at:
+                at = j
+                b[lengths[lengths == j + 1][:1], lengths == j + 1] = 1
+                if (j + 1) % SCALED == 0:
+                    top = np.where(b[j + 1] > 0, b[j + 1], 1)
+                    behind += np.log(top)
+                    b[j + 1 : j + trie.longest + 1] /= top
+                share = times[of] * np.exp(scales[j // SCALED] + behind - z)
+            use = p[ids] * b[end, some]
+            b[j, some] += use
+            np.add.at(out, ids, a[j, some] * use * share[some])
     return out
 
 
@@ -159,6 +197,13 @@ def is_held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
+def _shipped(docs: DataFrame, p: np.ndarray):
+    """The distributions as a broadcast, its size checked."""
+    if p.nbytes > SHIPPED:
+        raise ValueError(f"{p.shape[1]} languages need {p.nbytes} bytes on each executor; {SHIPPED} is the limit")
+    return docs.sparkSession.sparkContext.broadcast(p)
+
+
 def fit(docs: DataFrame, vocabulary: str | None = None, documents: int = TRAINING_DOCUMENTS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages in order and the probability of each piece in each, from (doc_id, text, lang) of training rows."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -173,9 +218,10 @@ def fit(docs: DataFrame, vocabulary: str | None = None, documents: int = TRAININ
     sample = saved(known.where(draw < F.element_at(rates, F.col("lang"))).select("lang", "text"), "training")
     p = np.full((trie.count, len(langs)), 1 / trie.count)
     for _ in range(rounds):
+        shipped = _shipped(docs, p)
 
-        def expect(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
-            trie = pieces_of(path)
+        def expect(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            trie, p = pieces_of(path), shipped.value
             total = np.zeros_like(p)
             for batch in batches:
                 seen = [Counter() for _ in langs]
@@ -191,6 +237,7 @@ def fit(docs: DataFrame, vocabulary: str | None = None, documents: int = TRAININ
         for r in found.collect():  # at most a row for each piece and language
             e[r["piece"], r["lang"]] += r["n"]
         p = e / e.sum(axis=0)
+        shipped.destroy()
     return langs, p
 
 
@@ -203,9 +250,10 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
     python_ready(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
+    shipped = _shipped(docs, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = pieces_of(path)
+        trie, p = pieces_of(path), shipped.value
         for whole in batches:
             for first in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(first, AT_ONCE)
@@ -215,7 +263,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
                 vectors: list[tuple[np.ndarray, np.ndarray] | None] = []
                 for text in texts:
                     text = text.as_py()
-                    if not langs or text is None or not _LETTER.search(text):
+                    if not langs or text is None or not has_letter(text):
                         vectors.append(None)
                         continue
                     ids = [index.setdefault(w, len(index)) for w in text.split()]
@@ -252,7 +300,10 @@ def identify(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, rounds: int =
 
 
 def known_language(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learnt language; texts that are null or without a letter go."""
+    """The rows of ``docs`` that have a language by :func:`identify`: texts that are null or without a letter go.
+
+    A text in a language that was not learnt has the nearest learnt one, and stays.
+    """
     held = docs.select("doc_id", "text", "lang", is_held_out(F.col("doc_id")).alias("held_out"))
     langs, p = fit(held.where("not held_out").select("doc_id", "text", "lang"), documents=documents, rounds=rounds)
     rows = docs.select(F.struct("*").alias("row"))

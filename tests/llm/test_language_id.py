@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from ruleweave.llm.language_id import VOCABULARY, expected_counts, identify, known_language, pieces_of, word_scores
+from ruleweave.llm.language_id import VOCABULARY, expected_counts, has_letter, identify, known_language, pieces_of, word_scores
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +37,47 @@ def test_forward_sums_equal_listed_segmentations(trie):
     for w, row in zip(words, got, strict=True):
         b = b"\xff" + w.lower().encode()
         assert np.allclose(row, [np.log(all_cuts(trie, b, p[:, k])) for k in range(2)])
-    # long words are cut at a fixed length; their score is that of the parts
-    assert np.isfinite(word_scores(["é" * 3000], p, trie)).all()
+
+
+def forward(trie, b, p):
+    """log p(word) in extended steps, one word: the sum over all segmentations."""
+    a = np.full(len(b) + 1, -np.inf)
+    a[0] = 0
+    for i in range(len(b)):
+        for j, k in pieces_in(trie, b, i):
+            a[j] = np.logaddexp(a[j], a[i] + np.log(p[k]))
+    return a
+
+
+def test_words_of_any_length_are_summed_over_all_segmentations(trie):
+    rng = np.random.default_rng(3)
+    p = rng.random((trie.count, 2)) ** 4
+    p /= p.sum(axis=0)
+    words = ["é" * 300, "nation" * 11, "nationalité" * 40, "über" * 33 + "x", "ab", "a" * 63, "a" * 64, "a" * 65]
+    got = word_scores(words, p, trie)
+    for w, row in zip(words, got, strict=True):
+        assert np.allclose(row, [forward(trie, b"\xff" + w.encode(), p[:, k])[-1] for k in range(2)])
+    # and so are their expected counts: by forward sums from both ends
+    q = p[:, 0]
+    want = np.zeros(trie.count)
+    for w, n in (("nationalité" * 9, 2), ("é" * 90, 1), ("a" * 70, 3), ("the", 5)):
+        b = b"\xff" + w.encode()
+        a, c = forward(trie, b, q), np.full(len(b) + 1, -np.inf)
+        c[len(b)] = 0
+        for i in reversed(range(len(b))):
+            for j, k in pieces_in(trie, b, i):
+                c[i] = np.logaddexp(c[i], c[j] + np.log(q[k]))
+        for i in range(len(b)):
+            for j, k in pieces_in(trie, b, i):
+                want[k] += n * np.exp(a[i] + np.log(q[k]) + c[j] - a[-1])
+    assert np.allclose(expected_counts({"nationalité" * 9: 2, "é" * 90: 1, "a" * 70: 3, "the": 5}, q, trie), want)
+
+
+def test_numbers_are_no_letters(spark):
+    assert not any(map(has_letter, ("½ ²", "①", "12_3", "", "Ⅷ"))) and all(map(has_letter, ("½a", "é", "中", "ª")))
+    rows = [(i, "the nation of the people", "en") for i in range(20)] + [(100, "½ ² ①", "en"), (101, "½ nation", "en")]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == "und" and got[101] == "en"
 
 
 def test_expected_counts_equal_listed_segmentations(trie):

@@ -66,17 +66,22 @@ def normalised_lines(text: Column) -> Column:
     return F.filter(_every_line(text), lambda x: x != "")
 
 
+def _host() -> Column:
+    """The host of a row as a key that is never null; a null source is none that a text can name."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
+
+
 def _judged(docs: DataFrame, limit: int, depleted: int, row: Column | None = None) -> DataFrame:
     """The counts and the verdict of each row; if its ``row`` is given, that too, and the hashes of its removed lines as ``gone``."""
     text = text_or_empty()
     keys = [
         F.xxhash64("text").alias("k1"),
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("null source"))).alias("k2"),
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), _host()).alias("k2"),
     ]
     carried = [] if row is None else ["row"]
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("text"), *([] if row is None else [row.alias("row")]))
     docs = docs.select("doc_id", "source", "text", *carried, *keys)
-    host = F.coalesce(F.col("source"), F.lit("null source")).alias("host")
+    host = _host().alias("host")
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
     hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("words")))
     lines = saved(docs.select("k1", "k2", host, hashed.alias("lines")), "lines")  # texts are cut to lines once

@@ -94,7 +94,7 @@ SELECT d.page_id, d.payload_bytes::BIGINT AS payload_bytes, d.payload_digest,
   CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND d.payload_bytes >= 1000""",
     "op5_quality_rules": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, 'null source') AS host, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN 'null' ELSE 's' || source END AS host, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 g AS (SELECT r, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
 n AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 k AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM n, unnest([0, 1, 2]) AS t(j) GROUP BY r),

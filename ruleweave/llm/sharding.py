@@ -2,10 +2,11 @@
 
 Groups (equal texts) are packed from large to small; each enters the shard whose
 remaining capacity is the tightest that holds it, found in a balanced tree. Equal
-sizes are interchangeable, so the driver packs a histogram of group sizes rather
-than the groups: sizes above 2,048 bytes are rounded up to 11 binary digits,
-which bounds the histogram at about 55,000 rows for any input. The executors then
-hand the packed ranges to groups by their rank in their size class. The capacity
+sizes are interchangeable, so the driver packs a histogram of the exact group sizes
+rather than the groups. Different sizes that add up to T bytes are at most sqrt(2 T),
+so the histogram is that of some 10 million rows at 100 TB, if every group had a size
+of its own. The executors then hand the packed ranges to groups by their rank in
+their size. The capacity
 is the least (to a part in ten thousand) at which the given number of shards is
 enough, which also makes their sizes near equal.
 """
@@ -24,7 +25,6 @@ SHARDS = 24
 ROW_BYTES = 8
 #: Cells into which the rows of a shard (and the groups of a size class) are cut to be numbered.
 CELLS = 1024
-_DIGITS = 11
 
 
 class RemainingTree:
@@ -140,12 +140,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFram
     if law == "bytes":
         rows = saved(rows.withColumn("key", F.unhex("key")), "rows")
         groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-        shift = F.greatest(F.length(F.bin("bytes")) - _DIGITS, F.lit(0)).cast("int")
-        up = F.shiftright(F.col("bytes") + F.expr("shiftleft(1L, shift)") - 1, 0)
-        groups = groups.withColumn("shift", shift).withColumn("up", up)
-        groups = groups.select("key", F.expr("shiftleft(shiftright(up, shift), shift)").alias("class"))
+        groups = groups.select("key", F.col("bytes").alias("class"))
         groups = saved(groups.withColumn("cell", F.pmod(F.xxhash64("key"), F.lit(CELLS))), "groups")
-        histogram = [tuple(r) for r in groups.groupBy("class").count().collect()]  # at most 2^11 + 2^10 x 52 rows
+        histogram = [tuple(r) for r in groups.groupBy("class").count().collect()]  # at most sqrt(2 x all bytes) rows
         plan: dict[int, tuple[list[int], list[int]]] = {}
         given: dict[int, int] = {}
         for s, to, n in pack_into(histogram, shards):
@@ -156,7 +153,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, law: str = "bytes") -> DataFram
         schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("of", T.ArrayType(T.IntegerType()))])
         ranges = docs.sparkSession.createDataFrame([(s, *x) for s, x in plan.items()], schema)
         ranked = spread_rank(groups, ["class"], ["cell"], [F.col("key")], "rank")
-        placed = ranked.join(F.broadcast(ranges), "class").select("key", F.element_at("of", F.size(F.filter("starts", lambda x: x <= F.col("rank")))).alias("shard"))
+        placed = ranked.join(ranges, "class").select("key", F.element_at("of", F.size(F.filter("starts", lambda x: x <= F.col("rank")))).alias("shard"))
         rows = rows.join(placed, "key")
     elif law == "rows":
         rows = spread_rank(rows.withColumn("cell", cell), [], ["cell"], [F.col("doc_id"), F.col("key")], "rank")

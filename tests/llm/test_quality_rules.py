@@ -67,3 +67,11 @@ def test_texts_without_frequent_lines(spark, edge, nothing):
     same = without_frequent_lines(edge)
     assert sorted(map(str, same.select(edge.columns).collect())) == sorted(map(str, edge.collect()))
     assert without_frequent_lines(nothing).count() == 0
+
+
+def test_a_null_source_is_a_host_of_its_own(spark):
+    rows = [(i, "the same line for all\n" + "own%s " % chr(97 + i % 26) * 60, s) for k, s in enumerate([None, "null", "null source", "snull", "s", ""]) for i in range(k * 30, k * 30 + 30)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["removed_words"] == 0 for r in got)
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=29).collect()
+    assert all(r["removed_words"] == 5 for r in got)

@@ -85,3 +85,13 @@ def test_edges(edge, edge_rows, nothing):
         assert shard(nothing, law=law).count() == 0
     with pytest.raises(ValueError):
         shard(edge, law="none")
+
+
+def test_large_sizes_are_packed_exactly(spark):
+    # with sizes rounded to a part in 2,048 neither pair would fill a shard
+    texts = ["a" * n for n in (900_001, 99_983, 800_003, 199_981, 700_001, 299_983, 600_011, 399_973)]
+    got = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=4).collect()
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert set(load.values()) == {1_000_000}

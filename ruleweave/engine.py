@@ -16,7 +16,7 @@ from .plans.analysis import Safety, Strictness, derived_predicates, hybrid_predi
 from .plans.compiler import Compiler, scan
 from .plans.magic import Program, magic_sets
 from .plans.model import Atom, Const, Rule, Var
-from .plans.query import Query, QueryProblem, parse_query
+from .plans.query import Query, parse_query
 from .sources.notation3 import parse
 from .storage import saved
 from .terms import TYPE
@@ -191,11 +191,16 @@ class Engine:
         for seed in program.seeds:
             relations.add(seed.pred, self.spark.range(1).select(*[F.lit(t.value).alias(n) for n, t in zip(("s", "o"), seed.args, strict=False)]))
         Fixpoint(relations, self._compiler(relations), {}, self.max_rounds).run(program.rules)
+        answers: dict[str, dict[str, DataFrame]] = {}
         for goal, new in zip(goals, program.goals, strict=True):
             if new.pred != goal.pred and (found := relations.get(new.pred)) is not None:
-                known = relations.get(goal.pred)
-                if known is None or goal.pred in self.stored.parts:
-                    relations.parts[goal.pred] = [found.distinct()] if known is None else [known.unionByName(found).distinct()]
+                answers.setdefault(goal.pred, {})[new.pred] = found
+        for pred, parts in answers.items():  # a predicate may be asked for in several ways, and have stored facts
+            all_parts = [*parts.values(), *([self.stored.get(pred)] if pred in self.stored.parts else [])]
+            whole = all_parts[0]
+            for x in all_parts[1:]:
+                whole = whole.unionByName(x)
+            relations.parts[pred] = [whole if len(all_parts) == 1 else whole.distinct()]
         return relations
 
     def goal(self, atom: Atom) -> DataFrame:
@@ -212,26 +217,29 @@ class Engine:
         closure = self.run(until=atom)
         return not scan(atom, closure.relations.read(atom)).isEmpty()
 
-    def _relations_for(self, query: Query) -> Relations:
-        """Stored facts if the query needs no rule, else by magic sets where its patterns allow that, else the closure."""
-        try:
-            atoms = atoms_of(query)
-        except QueryProblem:
-            return self.run().relations
-        if not has_var_pred(atoms) and not {a.pred for a in atoms} & self.derived() and not any(isinstance(h.pred, Var) for r in self.rules for h in r.heads):
+    def _relations_for(self, query: Query, fixed: Mapping[str, str]) -> Relations:
+        """Stored facts if the query needs no rule; the closure if it is there, or if a pattern or a rule may need any predicate; else by magic sets.
+
+        The goals are the patterns of all groups, with their constants and bindings;
+        a derived predicate that no constant binds is evaluated in full, by the rules that it needs.
+        """
+        atoms = atoms_of(query.where, fixed)
+        wild = has_var_pred(atoms) or any(isinstance(h.pred, Var) for r in self.rules for h in r.heads)
+        derived = self.derived()
+        if not wild and not {a.pred for a in atoms} & derived:
             return self.stored
-        return self.run().relations
+        if wild or self.hooks or self._closure is not None:
+            return self.run().relations
+        goals = [a for a in atoms if a.pred in derived]
+        free = {a.pred for a in goals if not any(isinstance(t, Const) for t in a.args)}
+        return self.solve_goals(list(dict.fromkeys(goals)), free)
 
     def sparql(self, text: str, bindings: Mapping[str, str] | None = None) -> DataFrame:
         """SELECT: a column a variable; ASK: one row ``answer``. ``bindings`` fix variables beforehand."""
-        query = parse_query(text, self.prefixes)
-        if bindings:
-            bound = {k: Const(x) for k, x in bindings.items()}
-            sub = lambda t: bound.get(t.name, t) if isinstance(t, Var) else t
-            query.where.parts = [(k, tuple(map(sub, x)) if k == "triple" else x) for k, x in query.where.parts]
-            if query.variables:
-                query.variables = [n for n in query.variables if n not in bound]
-        return answer(query, self._relations_for(query))
+        query, fixed = parse_query(text, self.prefixes), dict(bindings or {})
+        if query.variables:
+            query.variables = [n for n in query.variables if n not in fixed]
+        return answer(query, self._relations_for(query, fixed), fixed)
 
     def ask(self, text: str) -> bool:
         return bool(self.sparql(text).first()[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.builtins import BUILTINS
 from ..plans.compiler import join_order, scan
-from ..plans.model import Atom, Var, triple_atom
+from ..plans.model import Atom, Const, Var, triple_atom
 from ..plans.query import Group, Query, QueryProblem
 from ..terms import lexical, numeric
 from .fixpoint import Relations
@@ -59,12 +60,30 @@ def column(e: tuple) -> Column:
     raise QueryProblem(f"no such function: {op}")
 
 
-def join_patterns(atoms: list[Atom], relations: Relations) -> DataFrame:
+#: Variables that are fixed beforehand, and their terms. They stay columns, so that groups still join by them.
+Bindings = Mapping[str, object]
+
+
+def pattern_atom(triple: tuple, bound: Bindings) -> Atom:
+    """The atom of a triple pattern; a fixed variable in the place of the predicate names it."""
+    s, p, o = triple
+    return triple_atom(s, Const(bound[p.name]) if isinstance(p, Var) and p.name in bound else p, o)
+
+
+def _scan_fixed(atom: Atom, relations: Relations, fixed: Bindings) -> DataFrame:
+    out = scan(atom, relations.read(atom))
+    for v in atom.vars:
+        if v in fixed:
+            out = out.where(F.col(v) == F.lit(fixed[v]))
+    return out
+
+
+def join_patterns(atoms: list[Atom], relations: Relations, fixed: Bindings | None = None) -> DataFrame:
     """The natural join of triple patterns."""
     out: DataFrame | None = None
     bound: set[str] = set()
     for i in join_order(atoms):
-        new = scan(atoms[i], relations.read(atoms[i]))
+        new = _scan_fixed(atoms[i], relations, fixed or {})
         shared = sorted(bound & set(atoms[i].vars))
         out = new if out is None else out.join(new, shared) if shared else out.crossJoin(new)
         if "_true" in out.columns and len(out.columns) > 1:
@@ -83,22 +102,38 @@ def _compatible(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right.drop("_true"), F.lit(True), how) if how == "left" else left
 
 
-def solve(group: Group, relations: Relations) -> DataFrame:
-    """The solutions of a group: patterns joined, then the other parts in order, filters last."""
+def variables_of(e: object) -> set[str]:
+    """The variables of an expression."""
+    if not isinstance(e, tuple):
+        return set()
+    return {e[1]} if e[0] == "var" else set().union(*map(variables_of, e[1:]))
+
+
+def _with_fixed(out: DataFrame, names: set[str], fixed: Bindings) -> DataFrame:
+    for n in sorted(names):
+        if n in fixed and n not in out.columns:
+            out = out.withColumn(n, F.lit(fixed[n]))
+    return out
+
+
+def solve(group: Group, relations: Relations, fixed: Bindings | None = None) -> DataFrame:
+    """The solutions of a group: patterns joined, then the other parts in order, filters last. ``fixed`` holds in every group within."""
     out: DataFrame | None = None
-    atoms = [triple_atom(*x) for k, x in group.parts if k == "triple"]
+    fixed = fixed or {}
+    atoms = [pattern_atom(x, fixed) for k, x in group.parts if k == "triple"]
     if atoms:
-        out = join_patterns(atoms, relations)
+        out = join_patterns(atoms, relations, fixed)
+        out = _with_fixed(out, {x[1].name for k, x in group.parts if k == "triple" and isinstance(x[1], Var)}, fixed)
     filters = []
     for kind, x in group.parts:
         if kind == "filter":
             filters.append(x)
         elif kind in ("group", "union"):
-            choices = [solve(g, relations) for g in (x if kind == "union" else [x])]
+            choices = [solve(g, relations, fixed) for g in (x if kind == "union" else [x])]
             new = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), choices)
             out = new if out is None else _compatible(out, new, "inner")
         elif kind in ("optional", "minus"):
-            new = solve(x, relations)
+            new = solve(x, relations, fixed)
             if out is None:
                 out = relations.spark.range(1).select(F.lit(True).alias("_true"))
             if kind == "minus":
@@ -109,17 +144,18 @@ def solve(group: Group, relations: Relations) -> DataFrame:
         elif kind == "bind":
             if out is None:
                 out = relations.spark.range(1).select(F.lit(True).alias("_true"))
-            out = out.withColumn(x[0], column(x[1]))
+            out = _with_fixed(out, variables_of(x[1]), fixed)
+            out = out.where(column(x[1]).cast("string") == F.lit(str(fixed[x[0]]))).withColumn(x[0], F.lit(fixed[x[0]])) if x[0] in fixed else out.withColumn(x[0], column(x[1]))
     if out is None:
         raise QueryProblem("an empty pattern")
     for f in filters:
-        out = out.where(column(f))
+        out = _with_fixed(out, variables_of(f), fixed).where(column(f))
     return out
 
 
-def answer(query: Query, relations: Relations) -> DataFrame:
-    """SELECT: one column a variable, distinct solutions. ASK: one row with a boolean ``answer``."""
-    found = solve(query.where, relations)
+def answer(query: Query, relations: Relations, fixed: Bindings | None = None) -> DataFrame:
+    """SELECT: one column a variable that is not fixed, distinct solutions. ASK: one row with a boolean ``answer``."""
+    found = solve(query.where, relations, fixed).drop(*(fixed or {}))
     if query.kind == "ASK":
         return found.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
     names = query.variables if query.variables is not None else [c for c in found.columns if not c.startswith("_")]
@@ -134,8 +170,17 @@ def answer(query: Query, relations: Relations) -> DataFrame:
     return out
 
 
-def atoms_of(query: Query) -> list[Atom]:
-    return [triple_atom(*x) for x in query.patterns]
+def atoms_of(group: Group, fixed: Bindings | None = None) -> list[Atom]:
+    """The atoms of all groups within, fixed variables as constants."""
+    fixed, out = fixed or {}, []
+    for kind, x in group.parts:
+        if kind == "triple":
+            out.append(triple_atom(*[Const(fixed[t.name]) if isinstance(t, Var) and t.name in fixed else t for t in x]))
+        elif kind == "union":
+            out += [a for g in x for a in atoms_of(g, fixed)]
+        elif kind in ("group", "optional", "minus"):
+            out += atoms_of(x, fixed)
+    return out
 
 
 def has_var_pred(atoms: list[Atom]) -> bool:

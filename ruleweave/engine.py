@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.builtins import BUILTINS, Test
+from .ontology.equal import DIFFERENT, SAME_AS, equal_facts, node_kinds
 from .operators.fixpoint import MAX_ROUNDS, Fixpoint, Hook, Relations, split_triples
 from .operators.provenance import Proof, firing_counts, firings, prove
 from .operators.solve import answer, atoms_of, has_var_pred
@@ -37,6 +38,8 @@ class Engine:
         self.stored = Relations(spark)
         self.rules: list[Rule] = []
         self.constraints: list[tuple] = []
+        #: Whether equal nodes have the same facts: an ontology asks for it.
+        self.equality = False
         self.hooks: dict[str, tuple[Hook, bool]] = {}
         self._closure: Fixpoint | None = None
 
@@ -97,8 +100,29 @@ class Engine:
         compiled = compile_ontology(triples, **options)
         if compiled.facts:
             self.add_triples(self.spark.createDataFrame(sorted(compiled.facts), "s string, p string, o string"))
+        self.equality |= compiled.equality
         return self.add_rules(compiled.rules)
 
+    def program(self) -> list[Rule]:
+        """The rules; where equality matters, also those that give equal nodes the facts of each other, for every relation there is.
+
+        Columns of another type than the equal nodes' hold none of them.
+        """
+        if not self.equality:
+            return self.rules
+        kinds = {p: [k for _, k in df.dtypes] for p in self.stored.parts if (df := self.stored.get(p)) is not None}
+        for r in self.rules:
+            for h in r.heads:
+                if not isinstance(h.pred, Var):
+                    kinds.setdefault(h.pred, ["string"] * len(h.args))
+        stored = kinds[SAME_AS] if SAME_AS in self.stored.parts else []
+        nodes = node_kinds(self.rules, kinds) | set(stored) or {"string"}
+        out = list(self.rules)
+        for p, columns in sorted(kinds.items()):
+            if p not in (SAME_AS, DIFFERENT, TYPE):
+                out += equal_facts(p, [k in nodes for k in columns])
+        return list(dict.fromkeys(out))
+
     def on_fire(self, rule: Rule | str, hook: Hook, replace: bool = False) -> Engine:
         """Call ``hook`` with the new firings of a rule each round; the triples that it returns are added (instead of the heads, with ``replace``)."""
         self.hooks[rule if isinstance(rule, str) else rule.name] = (hook, replace)
@@ -112,13 +136,13 @@ class Engine:
 
     def clear(self) -> Engine:
         """Forget rules and what was derived."""
-        self.rules, self.constraints, self.hooks = [], [], {}
+        self.rules, self.constraints, self.hooks, self.equality = [], [], {}, False
         return self.reset()
 
     # analysis
 
     def derived(self, strictness: Strictness = Strictness.LOOSE, given: Collection[str] = (), base: Collection[str] = ()) -> set[str]:
-        return derived_predicates(self.rules, set(self.stored.parts), strictness, given, base)
+        return derived_predicates(self.program(), set(self.stored.parts), strictness, given, base)
 
     def hybrid(self) -> set[str]:
         return hybrid_predicates(self.derived(), set(self.stored.parts))
@@ -132,7 +156,7 @@ class Engine:
         if self._closure is None or until is not None:
             relations = self.stored.copy()
             closure = Fixpoint(relations, self._compiler(relations), self.hooks, self.max_rounds, until)
-            closure.run(self.rules)
+            closure.run(self.program())
             if until is not None:
                 return closure
             self._closure = closure
@@ -176,13 +200,13 @@ class Engine:
         self.stored.add(pred, new)
         self._closure.relations.add(pred, new)
         if not new.isEmpty():
-            self._closure.run(self.rules, {pred: new})
+            self._closure.run(self.program(), {pred: new})
         return self
 
     # goals and queries
 
     def rewritten(self, goals: list[Atom], no_magic: Collection[str] = ()) -> Program:
-        return magic_sets(self.rules, goals, self.derived(), no_magic, set(self.stored.parts))
+        return magic_sets(self.program(), goals, self.derived(), no_magic, set(self.stored.parts))
 
     def solve_goals(self, goals: list[Atom], no_magic: Collection[str] = ()) -> Relations:
         """Relations with all facts that answer the goals, by magic sets, under the goals' rewritten names too."""
@@ -272,7 +296,7 @@ class Engine:
     def firings(self) -> DataFrame:
         """Every firing of every rule over the closure; see :mod:`ruleweave.operators.provenance`."""
         relations = self.run().relations
-        return firings(self.rules, relations, self._compiler(relations))
+        return firings(self.program(), relations, self._compiler(relations))
 
     def firing_counts(self) -> DataFrame:
         return firing_counts(self.firings())

@@ -162,7 +162,9 @@ def answer(query: Query, relations: Relations, fixed: Bindings | None = None) ->
     missing = [n for n in names if n not in found.columns]
     out = found.select(*[F.col(n) if n not in missing else F.lit(None).cast("string").alias(n) for n in names]).distinct()
     if query.order:
-        out = out.orderBy(*[F.col(n).desc() if down else F.col(n).asc() for n, down in query.order])
+        # numbers by value, all else by its term
+        keys = [(k, down) for n, down in query.order for k in (numeric(F.col(n)), F.col(n))]
+        out = out.orderBy(*[k.desc() if down else k.asc() for k, down in keys])
     if query.offset:
         out = out.offset(query.offset)
     if query.limit is not None:

@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; one is made only where the setting is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ruleweave-")
         spark.conf.set("spark.checkpoint.dir", at)
         _written.append((spark, at))

@@ -26,7 +26,7 @@ def test_scans_push_filters_down(spark):
 @needs_tables
 def test_whole_customer_table_reaches_the_rules(spark):
     customers = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
-    typed = {r["s"] for r in queries.QUERIES["rdfs_rules_all"](spark, SF).where("o = '<urn:Party>'").collect()}
+    typed = {r["s"] for r in queries.QUERIES["rdfs_rules"](spark, SF).where("o = '<urn:Party>'").collect()}
     assert typed == {f"<urn:c{c}>" for c in customers}
     # customers at both ends of the table share a balance
     from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def test_whole_customer_table_reaches_the_rules(spark):
 
     facts, queries._Facts = queries._Facts, Shared
     try:
-        got = {tuple(r) for r in queries.QUERIES["same_as_rules_all"](spark, SF).select("s", "o").collect()}
+        got = {tuple(r) for r in queries.QUERIES["same_as_rules"](spark, SF).select("s", "o").collect()}
     finally:
         queries._Facts = facts
     a, b = "c1001", f"c{1000 + max(customers)}"

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from ruleweave.llm.quality_classifier import N_MEASURES, fit, measures, quality
+from ruleweave.llm.quality_classifier import N_MEASURES, estimated_prior, fit, measures, quality
 
 from .conftest import prose
 
@@ -44,3 +44,32 @@ def test_edges(spark, edge, edge_rows, nothing):
         assert len(got) == len(edge_rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
         assert quality(nothing, known).count() == 0
     assert measures(None).tolist() == [0] * N_MEASURES and np.isfinite(measures("a" * 100_000)).all()
+
+
+def test_the_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.8):
+        n = 4000
+        positive = rng.normal(1.5, 1, (1500, 4))
+        unlabelled = np.where(rng.random(n)[:, None] < share, rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (n, 4)))
+        assert abs(estimated_prior(positive, unlabelled) - share) < 0.06
+
+
+def test_labelled_negatives_are_not_read(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, junk(rng) if i % 4 == 0 else prose(rng, 60)) for i in range(200)], "doc_id long, text string")
+    ones = [(i, 1) for i in range(200) if i % 4]
+    got, again = (
+        sorted((r["doc_id"], r["score"]) for r in quality(docs, spark.createDataFrame(ones + more, "doc_id long, quality int")).collect())
+        for more in ([], [(i, 0) for i in range(0, 200, 4)])
+    )
+    assert np.allclose([s for _, s in got], [s for _, s in again])
+
+
+def test_groups_cover_all_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, junk(rng) if i % 4 == 0 else prose(rng, 60)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(600) if i % 4], "doc_id long, quality int")
+    got = quality(docs, labels, sample=200).collect()  # three groups
+    assert len(got) == 600 and np.mean([r["predicted"] == (r["doc_id"] % 4 != 0) for r in got]) > 0.95

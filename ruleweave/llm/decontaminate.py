@@ -1,15 +1,19 @@
 """Benchmark decontamination: documents that hold a passage within edit distance of an item.
 
 Texts are sequences of words (A-Z in lower case, ASCII punctuation dropped). A
-random walk embeds the words from any place on (the CGK embedding: at each step
-the walk puts out the word under it, and a random bit of that word decides
-whether it moves on), so that a small edit distance becomes a small Hamming
-distance. Sampling a few steps of the output gives a hash that near sequences
-share; every place gets such a hash, in several repetitions with other bits. A
-walk covers at most ``STEPS`` words, so edits spread evenly may harm each one:
-an item is also looked up by its pieces, one more than it may have edits, of
-which one is always unharmed. Every candidate is then verified by the exact edit distance
-of the item to the best window of the document: at most ``PERCENT_EDITS`` of its words.
+random walk embeds a window of words (the CGK embedding: at each step the walk puts
+out the word under it, and a random bit of that word decides whether it moves on),
+so that a small edit distance becomes a small Hamming distance. Windows have the
+size of the items: items are sorted into classes by size (powers of two), and a walk
+takes one and a half times as many steps as the class has words, so it crosses most
+of the window. Sampling three steps of the output (the first, one of the next few,
+and any further one) gives a hash that near windows share. An item is walked from
+each of its words, so a window is found from whichever part of it is unharmed, and a
+document from each of its words; the walks are drawn anew in several repetitions.
+Besides, an item is looked up by its pieces, one more than it may have edits, of
+which one is always unharmed: so no item within the limit is missed by chance.
+Every candidate is then verified by the exact edit distance of the item to the best
+window of the document: at most ``PERCENT_EDITS`` of its words.
 
 The items are a stated query set, taken in blocks of a bounded size; every
 document is compared with every block in one pass over its words.
@@ -32,9 +36,13 @@ PERCENT_EDITS = 25
 LEAST_WORDS = 5
 #: Words of items in a block.
 BLOCK_WORDS = 200_000
-REPETITIONS = 5
-STEPS = 12
-SAMPLES = 6
+REPETITIONS = 6
+#: Steps of a walk by the words of a window.
+SPAN = 1.5
+#: The second sample is at one of these steps, by repetition: near, so that few places go on.
+EARLY = (2, 3, 4)
+#: Words of an item from which the three samples must be at different words (two, if it has fewer).
+APART = 16
 #: Words of documents that are walked at once.
 _AT_ONCE = 1_000_000
 
@@ -58,47 +66,82 @@ def word_hashes(text: str | None, hashes: _Hashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
-def sampled_steps(seed: int = 11) -> list[list[int]]:
-    """For each repetition the steps that are sampled: the first, and others drawn at random."""
-    draw = np.random.default_rng(seed)
-    return [[0, *sorted(draw.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False).tolist())] for _ in range(REPETITIONS)]
+def size_class(words: int) -> int:
+    """The largest power of two that is not above the number of words."""
+    return 1 << (words.bit_length() - 1)
+
+
+def last_step(cls: int, repetition: int, seed: int = 11) -> int:
+    """The step of the third sample in windows of a class: any after the second, up to the end of the walk."""
+    early = EARLY[repetition % len(EARLY)]
+    return int(np.random.default_rng([seed, cls, repetition]).integers(early + 1, max(early + 1, int(SPAN * cls)) + 1))
+
+
+def _moves(words: np.ndarray, repetition: int, step: int) -> np.ndarray:
+    """The random bit of each word at a step: whether the walk moves on."""
+    odd = np.uint64((xxhash.xxh3_64_intdigest(b"%d:%d" % (repetition, step)) | 1) & (2**64 - 1))
+    return ((words * odd) >> np.uint64(63)).astype(np.int64)
+
+
+_Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class ItemIndex:
-    """The hashes of a block of items: of walks by repetition and number of samples, of pieces by their words."""
+    """The hashes of a block of items: of walks by repetition and class of size, of pieces by their words."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int = PERCENT_EDITS) -> None:
         hashes = _Hashes()
         self.items = [(i, w) for i, text in items if len(w := word_hashes(text, hashes)) >= LEAST_WORDS]
         self.lists = [w.tolist() for _, w in self.items]
         self.sizes = np.array([len(w) for w in self.lists], np.int64)
-        self.steps = sampled_steps()
-        self.first = np.zeros(1 << _TABLE_BITS, bool)
-        self.tables: list[list[np.ndarray]] = []
-        self.found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]] = []
+        classes = sorted({size_class(n) for n in self.sizes.tolist()})
+        #: For each repetition the last steps of the walks, in order, with the class that each is for.
+        self.steps = [sorted((last_step(c, r), c) for c in classes) for r in range(REPETITIONS)]
+        self.pad = 1 + max([EARLY[-1], *(step for steps in self.steps for step, _ in steps)])
+        words = np.concatenate([*(w for _, w in self.items), np.zeros(self.pad, np.uint64)])
+        ends = np.cumsum(self.sizes)
+        item = np.repeat(np.arange(len(self.items)), self.sizes)
+        start = np.arange(len(item))
+        end, offset, cls = ends[item], start - (ends - self.sizes)[item], np.array([size_class(n) for n in self.sizes.tolist()], np.int64)[item]
+        self.first = self._table(words[: len(item)])
+        self.early: list[np.ndarray] = []
+        self.found: list[dict[int, tuple[np.ndarray, _Found]]] = []
         for r, steps in enumerate(self.steps):
-            levels: list[dict[int, list[tuple[int, int]]]] = [{} for _ in steps]
-            passed: list[set[int]] = [set() for _ in steps]
-            for k, (_, w) in enumerate(self.items):
-                walks = [self._keys(w, o, r) for o in range(len(w))]
-                most = max(map(len, walks))
-                for o, keys in enumerate(walks):
-                    if len(keys) == most:
-                        levels[most - 1].setdefault(keys[-1], []).append((k, o))
-                        for level, key in enumerate(keys):
-                            passed[level].add(key)
-                            if level == 0:
-                                self.first[key >> (64 - _TABLE_BITS)] = True
-            self.tables.append([self._table(x) for x in passed])
-            self.found.append([self._sorted(x) for x in levels])
-        pieces: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(_PIECE_WORDS)]
+            second, key = self._second(words, start, r)
+            at, done, kept, of = second, EARLY[r % len(EARLY)], [], {}
+            for step, c in steps:
+                at = self._walked(words, at, r, done, step)
+                done = step
+                # a walk stays in its item, and its samples are at different words
+                keep = np.flatnonzero((cls == c) & (at < end) & (second != start) & ((at != second) | (self.sizes[item] < APART)))
+                whole = key[keep] * _TIMES + words[at[keep]]
+                kept.append(key[keep])
+                of[c] = (self._table(whole), self._grouped(whole, np.column_stack([item[keep], offset[keep]])))
+            self.early.append(self._table(np.concatenate(kept) if kept else np.empty(0, np.uint64)))
+            self.found.append(of)
+        pieces: list[list[tuple[int, int, int]]] = [[] for _ in range(_PIECE_WORDS)]
         for k, (_, w) in enumerate(self.items):
             # of one piece more than there may be edits, one is unharmed
             n = min(len(w) * percent // 100 + 1, len(w))
-            for o, end in ((len(w) * i // n, len(w) * (i + 1) // n) for i in range(n)):
-                size = min(end - o, _PIECE_WORDS)
-                pieces[size - 1].setdefault(self._piece(w[o : o + size]), []).append((k, o))
-        self.pieces = [(self._table(x), self._sorted(x)) for x in pieces]
+            for o, stop in ((len(w) * i // n, len(w) * (i + 1) // n) for i in range(n)):
+                size = min(stop - o, _PIECE_WORDS)
+                pieces[size - 1].append((self._piece(w[o : o + size]), k, o))
+        self.pieces = []
+        for rows in pieces:
+            keys = np.array([x[0] for x in rows], np.uint64)
+            self.pieces.append((self._table(keys), self._grouped(keys, np.array([x[1:] for x in rows], np.int64).reshape(-1, 2))))
+
+    @staticmethod
+    def _walked(words: np.ndarray, at: np.ndarray, r: int, done: int, step: int) -> np.ndarray:
+        """Where walks that are at ``at`` before step ``done`` are at ``step``."""
+        for j in range(done, step):
+            at = at + _moves(words[at], r, j)
+        return at
+
+    def _second(self, words: np.ndarray, start: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the second sample, and the hash of the first two."""
+        at = self._walked(words, start, r, 0, EARLY[r % len(EARLY)])
+        return at, words[start] * _TIMES + words[at]
 
     @staticmethod
     def _piece(words: np.ndarray) -> int:
@@ -108,64 +151,51 @@ class ItemIndex:
         return key
 
     @staticmethod
-    def _table(keys) -> np.ndarray:
+    def _table(keys: np.ndarray) -> np.ndarray:
         t = np.zeros(1 << _TABLE_BITS, bool)
-        t[np.array(sorted(keys), np.uint64) >> np.uint64(64 - _TABLE_BITS)] = True
+        t[keys >> np.uint64(64 - _TABLE_BITS)] = True
         return t
 
     @staticmethod
-    def _sorted(of: dict[int, list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        keys = sorted(of)
-        if not keys:
-            return None
-        return np.array(keys, np.uint64), np.cumsum([len(of[x]) for x in keys]), np.array([p for x in keys for p in of[x]], np.int64)
+    def _grouped(keys: np.ndarray, of: np.ndarray) -> _Found:
+        """Different keys in order, where each one's rows end, and the rows (item, offset)."""
+        order = np.argsort(keys, kind="stable")
+        different, counts = np.unique(keys, return_counts=True)
+        return different, np.cumsum(counts), of[order]
 
     @staticmethod
-    def _matches(place: np.ndarray, key: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    def _matches(place: np.ndarray, key: np.ndarray, found: _Found) -> np.ndarray:
         """(place, item, offset) for each place and each item offset with the place's key."""
         keys, ends, of = found
+        if not len(keys):
+            return np.empty((0, 3), np.int64)
         i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = np.flatnonzero(keys[i] == key)
         n = ends[i[hit]] - np.where(i[hit] > 0, ends[i[hit] - 1], 0)
         which = np.repeat(ends[i[hit]], n) - 1 - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         return np.column_stack([np.repeat(place[hit], n), of[which]])
 
-    def _keys(self, w: np.ndarray, at: int, r: int) -> list[int]:
-        """The hash after each sampled step that the walk from ``at`` reaches within the item."""
-        steps, keys, key = self.steps[r], [], 0
-        for j in range(steps[-1] + 1):
-            if at >= len(w):
-                break
-            if j in steps:
-                key = (key * int(_TIMES) + int(w[at])) % 2**64
-                keys.append(key)
-            at += int(w[at]) >> (r * STEPS + j) & 1
-        return keys
-
     def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``h`` (which ends in padding of at least ``STEPS`` words) with items and the items' offsets, some more than once."""
+        """Places in ``h`` (which ends in ``pad`` words of padding) with items and the items' offsets, some more than once."""
         shift = np.uint64(64 - _TABLE_BITS)
-        start = np.flatnonzero(self.first[h[:-STEPS] >> shift])
+        start = np.flatnonzero(self.first[h[: -self.pad] >> shift])
         out = [np.empty((0, 3), np.int64)]
         for r, steps in enumerate(self.steps):
-            place, at, key = start, start, h[start]
-            for level in range(len(steps)):
-                if level:
-                    for j in range(steps[level - 1], steps[level]):
-                        at = at + ((h[at] >> np.uint64(r * STEPS + j)) & np.uint64(1)).astype(np.int64)
-                    key = key * _TIMES + h[at]
-                keep = np.flatnonzero(self.tables[r][level][key >> shift])
-                place, at, key = place[keep], at[keep], key[keep]
-                if not len(place):
-                    break
-                if self.found[r][level] is not None:
-                    out.append(self._matches(place, key, self.found[r][level]))
+            at, key = self._second(h, start, r)
+            keep = np.flatnonzero(self.early[r][key >> shift] & (at != start))
+            place, at, key, done = start[keep], at[keep], key[keep], EARLY[r % len(EARLY)]
+            for step, c in steps:
+                at = self._walked(h, at, r, done, step)
+                done = step
+                table, found = self.found[r][c]
+                whole = key * _TIMES + h[at]
+                hit = np.flatnonzero(table[whole >> shift])
+                out.append(self._matches(place[hit], whole[hit], found))
         key = np.zeros(len(h), np.uint64)
         for size, (table, found) in enumerate(self.pieces, 1):
             key = key[: len(h) - size + 1] * _TIMES + h[size - 1 :]
-            if found is not None:
-                place = np.flatnonzero(table[key[: len(h) - STEPS] >> shift])
-                out.append(self._matches(place, key[place], found))
+            place = np.flatnonzero(table[key[: len(h) - self.pad] >> shift]) if len(found[0]) else start[:0]
+            out.append(self._matches(place, key[place], found))
         return tuple(np.concatenate(out).T)
 
 
@@ -211,7 +241,7 @@ def _searched(texts: pa.Array, index: ItemIndex, hashes: _Hashes, percent: int)
             docs.append(word_hashes(texts[row].as_py(), hashes))
             size += len(docs[-1])
             row += 1
-        h = np.concatenate([*docs, np.zeros(STEPS + 1, np.uint64)])
+        h = np.concatenate([*docs, np.zeros(max(index.pad, _PIECE_WORDS), np.uint64)])
         ends = np.cumsum([len(d) for d in docs])
         places, items, offsets = index.candidates(h)
         of = np.searchsorted(ends, places, side="right")
@@ -273,9 +303,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_E
 
         found = docs.mapInArrow(run, schema)
         if parts:  # more than one block: each is searched and written before the next is held
-            parts = [saved(parts[0], "matches"), *parts[1:]] if len(parts) == 1 else parts
-            found = saved(found, "matches")
+            parts[-1] = saved(parts[-1], "matches")
+            before.destroy()
         parts.append(found)
+        before = shipped
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -285,12 +316,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_E
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_EDITS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, in one pass, without a join."""
+    """The rows of ``docs`` that hold no item, in one pass for each block of items, without a join."""
     spark = docs.sparkSession
     python_ready(spark)
-    rows = docs.select(F.struct("*").alias("row"))
+    rows, shipped = docs.select(F.struct("*").alias("row")), None
     for index in item_blocks(benchmark, percent=percent):
-        shipped = spark.sparkContext.broadcast(index)
+        if shipped is not None:  # more than one block: each is searched and written before the next is held
+            rows = saved(rows, "clean")
+            shipped.destroy()
+        shipped = spark.sparkContext.broadcast(index)  # a block: its size is bounded
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             hashes = _Hashes()

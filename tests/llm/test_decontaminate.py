@@ -97,3 +97,30 @@ def test_no_item_within_the_limit_is_missed():
             docs.append(" ".join([*(new() for _ in range(20)), *y, *(new() for _ in range(20))]))
         found = {(r, m[0]) for r, m in _searched(pa.array(docs), ItemIndex(items), _Hashes(), 25)}
         assert found == {(i, i) for i in range(60)}, n
+
+
+def test_walks_alone_reach_the_target_recall(monkeypatch):
+    rng, new = random.Random(4), lambda: f"n{rng.randrange(10**9)}"
+    for n in (5, 7, 8, 16, 40, 100):
+        items, docs = [], []
+        for i in range(60):
+            x = [new() for _ in range(n)]
+            y = list(x)
+            for k in rng.sample(range(n), n * 25 // 100):
+                y[k] = new()
+            items.append((i, " ".join(x)))
+            docs.append(" ".join([*(new() for _ in range(20)), *y, *(new() for _ in range(20))]))
+        index = ItemIndex(items)
+        index.pieces = []
+        found = {(r, m[0]) for r, m in _searched(pa.array(docs), index, _Hashes(), 25)}
+        assert found <= {(i, i) for i in range(60)} and len(found) >= 0.93 * 60, n
+
+
+def test_several_blocks_on_a_cluster_path(spark, monkeypatch):
+    from ruleweave.llm import decontaminate as module
+
+    docs, bench, _ = planted(11, 0.1)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    whole, clean = sorted(map(tuple, contaminated(d, b).collect())), sorted(map(tuple, decontaminate(d, b).collect()))
+    monkeypatch.setattr(module, "item_blocks", lambda benchmark, percent: (ItemIndex(bench[k : k + 15], percent) for k in range(0, 40, 15)))
+    assert sorted(map(tuple, contaminated(d, b).collect())) == whole and sorted(map(tuple, decontaminate(d, b).collect())) == clean

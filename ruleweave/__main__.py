@@ -8,6 +8,7 @@ if one is given.
 from __future__ import annotations
 
 import argparse
+import runpy
 import sys
 from pathlib import Path
 
@@ -23,10 +24,17 @@ from .sources.rif import parse_rif
 from .terms import TYPE
 
 
+def more_builtins(path: str | None) -> dict:
+    """The mapping ``BUILTINS`` (name to Column test) of a Python file."""
+    return runpy.run_path(path)["BUILTINS"] if path else {}
+
+
 def build(spark: SparkSession, args: argparse.Namespace) -> Engine:
-    e = Engine(spark, safety=Safety(args.safety))
+    e = Engine(spark, more_builtins(args.builtins), safety=Safety(args.safety))
     for path in args.data:
-        if path.endswith(".nt"):
+        if path == "-":
+            e.add_rules(sys.stdin.read())
+        elif path.endswith(".nt"):
             e.add_triples(read(spark, path))
         elif path.endswith((".rdf", ".xml", ".owl")):
             e.add_triples(spark.createDataFrame(parse_rdfxml(Path(path).read_text()), "s string, p string, o string"))
@@ -48,7 +56,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub = parser.add_subparsers(dest="command", required=True)
     for name in ("facts", "query", "proof", "rules"):
         p = sub.add_parser(name)
-        p.add_argument("--data", action="append", default=[], help="facts: .nt, .ttl, .n3, .rdf or .parquet")
+        p.add_argument("--data", action="append", default=[], help="facts: .nt, .ttl, .n3, .rdf or .parquet, or - for Notation3 from the standard input")
+        p.add_argument("--builtins", help="a Python file whose BUILTINS maps names to tests over columns")
         p.add_argument("--rules", action="append", default=[], help="rules: .n3 or RIF-Core XML")
         p.add_argument("--ontology", action="append", default=[], help="an ontology: .ttl, .n3 or .rdf")
         p.add_argument("--safety", choices=[s.value for s in Safety], default="none")
@@ -59,15 +68,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("ruleweave").getOrCreate()
     e = build(spark, args)
     if args.command == "facts":
-        rows = sorted(tuple(r) for r in (e.closure() if args.closure else e.inferred()).collect())
-        print(to_turtle(rows, {k: x for k, x in e.prefixes.items() if k}) if args.format == "ttl" else "\n".join(f"{s} {p} {o} ." for s, p, o in rows))
+        found = (e.closure() if args.closure else e.inferred()).orderBy("s", "p", "o")
+        if args.format == "ttl":  # a text for people, made on the driver
+            print(to_turtle([tuple(r) for r in found.collect()], {k: x for k, x in e.prefixes.items() if k}))
+        else:
+            for s, p, o in found.toLocalIterator():
+                print(f"{s} {p} {o} .")
     elif args.command == "query":
         df = e.sparql(args.text[0])
         if parse_query(args.text[0], e.prefixes).kind == "ASK":
             print(str(df.first()[0]).lower())
         else:
             print("\t".join(df.columns))
-            print("\n".join("\t".join(x or "" for x in r) for r in df.collect()))
+            for r in df.toLocalIterator():
+                print("\t".join(x or "" for x in r))
     elif args.command == "proof":
         s, p, o = args.text
         proof = e.why(o, s) if p == TYPE else e.why(p, s, o)

@@ -43,6 +43,21 @@ class Engine:
         self.hooks: dict[str, tuple[Hook, bool]] = {}
         self._closure: Fixpoint | None = None
 
+    @classmethod
+    def from_graph(cls, spark: SparkSession, triples: DataFrame | None = None, ontology: Iterable[tuple[str, str, str]] = (), rules: str | Iterable[Rule] = (), endpoints: Mapping[str, object] | None = None, **options) -> Engine:
+        """An engine that entails from data, the axioms of an ontology, and rules at once.
+
+        ``endpoints`` maps predicates to :class:`~ruleweave.sources.endpoint.Endpoint` objects that hold their facts.
+        """
+        e = cls(spark, **options)
+        if triples is not None:
+            e.add_triples(triples)
+        for pred, endpoint in (endpoints or {}).items():
+            e.add_relation(pred, endpoint.facts(pred))
+        if axioms := list(ontology):
+            e.add_ontology(axioms)
+        return e.add_rules(rules)
+
     # facts and rules
 
     def add_relation(self, pred: str, facts: DataFrame, unique: bool = False) -> Engine:

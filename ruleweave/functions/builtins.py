@@ -53,6 +53,6 @@ BUILTINS: dict[str, Test] = {
     f"<{STRING}notMatches>": _string(lambda a, b: ~F.regexp_like(a, b)),
 }
 #: Ranges hold for resources, not for literals.
-BUILTINS["term:isResource"] = lambda a, _: ~F.startswith(a.cast("string"), F.lit('"'))
+BUILTINS["term:isResource"] = BUILTINS["<term:isResource>"] = lambda a, _: ~F.startswith(a.cast("string"), F.lit('"'))
 #: Short names, e.g. ``math:lessThan``.
 BUILTINS |= {k[1:-1].replace(LOG, "log:").replace(MATH, "math:").replace(STRING, "string:"): f for k, f in list(BUILTINS.items())}

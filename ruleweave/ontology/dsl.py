@@ -290,6 +290,46 @@ class Property(Node):
         return sorted((s, o) for s, _, o in self.graph.match(None, self.node))
 
 
+class AnnotationProperty(Property):
+    """A property that says something of a node and follows no rule."""
+
+    def __init__(self, graph: Graph, node: str) -> None:
+        super().__init__(graph, node, "AnnotationProperty")
+
+    def annotate(self, node: Node, text: str, lang: str | None = None) -> None:
+        self.graph.add(node.node, self.node, literal(text, lang=lang))
+
+    def of(self, node: Node) -> list[str]:
+        return node._get(self.node)
+
+
+class Infix:
+    """An operator between a property and a class, a node or a number: ``has |some| Person``, ``has |minimum[2]| Person``."""
+
+    def __init__(self, name: str, prop: Property | None = None, number: int | None = None) -> None:
+        self.name, self.prop, self.number = name, prop, number
+
+    def __ror__(self, prop: Property) -> Infix:
+        return Infix(self.name, prop, self.number)
+
+    def __or__(self, other) -> Class:
+        if self.prop is None:
+            raise TypeError(f"{self.name} stands between a property and what it restricts")
+        build = getattr(self.prop, self.name)
+        if self.name not in ("min", "max", "exactly"):
+            return build(other)
+        return build(other) if self.number is None else build(self.number, other)
+
+    def __getitem__(self, number: int) -> Infix:
+        """With a number, a cardinality is qualified by the class that follows."""
+        if self.name not in ("min", "max", "exactly"):
+            raise TypeError(f"{self.name} takes no number")
+        return Infix(self.name, self.prop, number)
+
+
+some, only, value, minimum, maximum, exactly = map(Infix, ("some", "only", "value", "min", "max", "exactly"))
+
+
 def all_classes(graph: Graph) -> list[Class]:
     return [Class(graph, n) for n in graph.subjects(TYPE, _CLASS) if n.startswith("<")]
 

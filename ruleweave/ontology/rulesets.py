@@ -19,6 +19,18 @@ RDFS_RULES = """
 { ?c rdfs:subClassOf ?d. ?d rdfs:subClassOf ?e } => { ?c rdfs:subClassOf ?e }.
 """
 
+#: What RDFS says of every triple and of the vocabulary itself (rdf1, rdfs4, 12 and 13): it types all that there is, so it stands apart.
+RDFS_AXIOM_RULES = """
+@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#>.
+@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#>.
+@prefix term: <term:>.
+{ ?x ?p ?y } => { ?p rdf:type rdf:Property }.
+{ ?x ?p ?y } => { ?x rdf:type rdfs:Resource }.
+{ ?x ?p ?y. ?y term:isResource ?y } => { ?y rdf:type rdfs:Resource }.
+{ ?p rdf:type rdfs:ContainerMembershipProperty } => { ?p rdfs:subPropertyOf rdfs:member }.
+{ ?d rdf:type rdfs:Datatype } => { ?d rdfs:subClassOf rdfs:Literal }.
+"""
+
 #: The pD* extension of RDFS by part of OWL (rdfp1 to rdfp16).
 PD_RULES = """
 @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#>.

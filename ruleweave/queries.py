@@ -711,6 +711,25 @@ def pd_star_rules(spark, sf_dir):
     return e.match(p="<urn:livesIn>").select("s", "o")
 
 
+@query("SELECT DISTINCT '<urn:c' || c_custkey || '>' AS s FROM customer UNION SELECT DISTINCT '<urn:n' || c_nationkey || '>' FROM customer")
+def rdfs_resources(spark, sf_dir):
+    from .ontology.rulesets import RDFS_AXIOM_RULES
+
+    lives = _Facts(spark, sf_dir).columns("customer", "concat('<urn:c', c_custkey, '>')", "concat('<urn:n', c_nationkey, '>')")
+    e = Engine(spark).add_relation("<urn:livesIn>", lives).add_rules(RDFS_AXIOM_RULES)
+    return e.match(p=TYPE, o=iri(RDFS + "Resource")).select("s").where("s like '<urn:c%' or s like '<urn:n%'")
+
+
+@query("SELECT DISTINCT '<urn:c' || c_custkey || '>' AS s, '<urn:r' || n_regionkey || '>' AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def entailment_graph(spark, sf_dir):
+    f = _Facts(spark, sf_dir)
+    data = f.columns("customer", "concat('<urn:c', c_custkey, '>') as s", "'<urn:home>' as p", "concat('<urn:n', c_nationkey, '>') as o")
+    data = data.unionByName(f.columns("nation", "concat('<urn:n', n_nationkey, '>') as s", "'<urn:partOf>' as p", "concat('<urn:r', n_regionkey, '>') as o"))
+    axioms = [("<urn:home>", iri(RDFS + "subPropertyOf"), "<urn:livesIn>")]
+    e = Engine.from_graph(spark, data, axioms, "@prefix : <urn:>. { ?c :livesIn ?n. ?n :partOf ?r } => { ?c :livesInRegion ?r }.")
+    return e.relation("<urn:livesInRegion>")
+
+
 # front ends, stores, streams
 
 

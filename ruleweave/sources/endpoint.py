@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.model import Atom, Const, Var
+from ..storage import saved
 from ..terms import TYPE, iri, literal
 
 Transport = Callable[[str], str]
@@ -74,6 +75,10 @@ def to_sparql(atoms: list[Atom], variables: list[str], service: str | None = Non
     return (f"SELECT DISTINCT {' '.join('?' + v for v in variables)}" if variables else "ASK") + f" {{\n  {where}\n}}"
 
 
+#: Pages that the driver holds before it writes them.
+HELD_PAGES = 20
+
+
 class Endpoint:
     def __init__(self, spark: SparkSession, transport: Transport, page: int = 10_000) -> None:
         self.spark, self.transport, self.page = spark, transport, page
@@ -86,19 +91,27 @@ class Endpoint:
         return self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
 
     def facts(self, pred: str, arity: int = 2) -> DataFrame:
-        """All facts of a predicate, page by page."""
+        """All facts of a predicate, page by page; the driver holds some pages at a time and writes them to the shared folder."""
         s, o = Var("s"), Var("o")
         a = Atom(pred, (s, o) if arity == 2 else (s,))
         names = ["s", "o"][:arity]
         base = to_sparql([a], names) + " ORDER BY " + " ".join("?" + n for n in names)
+        schema = ", ".join(f"{n} string" for n in names)
         rows: list[tuple] = []
+        out, seen = None, 0
         while True:
-            found = results(self.transport(f"{base} LIMIT {self.page} OFFSET {len(rows)}"))
+            found = results(self.transport(f"{base} LIMIT {self.page} OFFSET {seen}"))
             if isinstance(found, bool):
                 raise EndpointProblem("a truth value for a SELECT")
             rows += found[1]
-            if len(found[1]) < self.page:
-                return self.spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+            seen += len(found[1])
+            last = len(found[1]) < self.page
+            if last or len(rows) >= HELD_PAGES * self.page:
+                part = self.spark.createDataFrame(rows, schema)
+                part = part if last and out is None else saved(part, "endpoint")
+                out, rows = part if out is None else out.unionByName(part), []
+            if last:
+                return out
 
     def holds(self, pred: str, *args: str) -> bool:
         return self.transport and results(self.transport(to_sparql([Atom(pred, tuple(map(Const, args)))], []))) is True

@@ -7,6 +7,7 @@ import pytest
 from ruleweave.__main__ import main
 from ruleweave.engine import Engine
 from ruleweave.ontology import dsl
+from ruleweave.ontology.dsl import AnnotationProperty, Class, Property, exactly, minimum, only, some, value
 from ruleweave.ontology.compile import compile_ontology
 from ruleweave.ontology.expr import AllOf, AnyOf, Complement, HasValue, Named, OneOf, Only, Some, expand_complements, manchester, normal_form, read, write
 from ruleweave.ontology.graph import Graph
@@ -238,6 +239,49 @@ def test_endpoint(spark):
         results("<html>")
 
 
+def test_endpoint_pages_are_written_as_they_come(spark, monkeypatch):
+    from ruleweave.sources import endpoint
+
+    monkeypatch.setattr(endpoint, "HELD_PAGES", 2)
+
+    def page(text):
+        at = int(text.rsplit("OFFSET ", 1)[1])
+        return json.dumps({"head": {"vars": ["s", "o"]}, "results": {"bindings": [{x: {"type": "uri", "value": f"{E_}{x}{i}"} for x in "so"} for i in range(at, min(at + 3, 17))]}})
+
+    assert rows(Endpoint(spark, page, page=3).facts(ex("p"))) == {(ex(f"s{i}"), ex(f"o{i}")) for i in range(17)}
+
+
+def test_data_axioms_rules_and_an_endpoint_at_once(spark):
+    def page(text):
+        return json.dumps({"head": {"vars": ["s", "o"]}, "results": {"bindings": [{"s": {"type": "uri", "value": E_ + "b"}, "o": {"type": "uri", "value": E_ + "c"}}]}})
+
+    data = spark.createDataFrame([(ex("a"), ex("p"), ex("b"))], "s string, p string, o string")
+    e = Engine.from_graph(spark, data, [(ex("p"), iri(RDFS + "subPropertyOf"), ex("q"))], f"@prefix : <{E_}>. {{ ?x :q ?y. ?y :r ?z }} => {{ ?x :s ?z }}.", {ex("r"): Endpoint(spark, page, page=2)})
+    assert rows(e.relation(ex("s"))) == {(ex("a"), ex("c"))}
+
+
+def test_infix_operators_and_annotation_properties():
+    g = Graph()
+    has, person = Property(g, ex("has")), Class(g, ex("Person"))
+    assert (has |some| person).expression == has.some(person).expression and (has |only| person).expression == has.only(person).expression
+    assert (has |value| ex("x")).expression == has.value(ex("x")).expression
+    assert (has |minimum| 2).expression == has.min(2).expression and (has |exactly[2]| person).expression == has.exactly(2, person).expression
+    with pytest.raises(TypeError):
+        some[2]
+    note = AnnotationProperty(g, ex("note"))
+    note.annotate(person, "a being", "en")
+    assert note.of(person) == ['"a being"@en'] and not compile_ontology(sorted(g.triples)).rules
+
+
+def test_command_line_with_builtins_and_standard_input(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    (tmp_path / "b.py").write_text("BUILTINS = {'<http://ex#longer>': lambda a, b: a.cast('string') > b.cast('string')}")
+    monkeypatch.setattr("sys.stdin", io.StringIO(f"@prefix : <{E_}>. :a :p 'x'. :b :p 'z'. {{ ?s :p ?o. ?o :longer 'y' }} => {{ ?s a :Late }}."))
+    assert main(["facts", "--data", "-", "--builtins", str(tmp_path / "b.py")], spark) == 0
+    assert capsys.readouterr().out.split() == [ex("b"), TYPE, ex("Late"), "."]
+
+
 # streaming
 
 

@@ -32,10 +32,12 @@ class Engine:
     one is asked for, and again only after something was added.
     """
 
-    def __init__(self, spark: SparkSession, builtins: Mapping[str, Test] | None = None, safety: Safety = Safety.NONE, max_rounds: int = MAX_ROUNDS, prefixes: dict[str, str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, builtins: Mapping[str, Test] | None = None, safety: Safety = Safety.NONE, max_rounds: int = MAX_ROUNDS, prefixes: dict[str, str] | None = None, services: Mapping[str, object] | None = None) -> None:
         self.spark, self.safety, self.max_rounds, self.prefixes = spark, safety, max_rounds, dict(prefixes or {})
         self.builtins = {**BUILTINS, **(builtins or {})}
         self.stored = Relations(spark)
+        #: Endpoints by the names that ``SERVICE`` has for them, such as ``<http://...>``.
+        self.stored.services = dict(services or {})
         self.rules: list[Rule] = []
         self.constraints: list[tuple] = []
         #: Whether equal nodes have the same facts: an ontology asks for it.

@@ -44,9 +44,12 @@ class Relations:
         self.parts: dict[str, list[DataFrame]] = {p: [df] for p, df in (tables or {}).items()}
         #: Predicates whose facts are plain scans, which cost the same whenever they are read.
         self.plain: set[str] = set()
+        #: Endpoints by name, for queries that ask them.
+        self.services: dict[str, object] = {}
 
     def copy(self) -> Relations:
         out = Relations(self.spark)
+        out.services = self.services
         out.parts = {p: list(x) for p, x in self.parts.items()}
         out.plain = set(self.plain)
         return out

@@ -141,6 +141,9 @@ def solve(group: Group, relations: Relations, fixed: Bindings | None = None) ->
                 out = out.join(new.select(*shared).distinct(), shared, "left_anti") if shared else out
             else:
                 out = _compatible(out, new, "left")
+        elif kind == "service":
+            new = _served(*x, relations, fixed)
+            out = new if out is None else _compatible(out, new, "inner")
         elif kind == "bind":
             if out is None:
                 out = relations.spark.range(1).select(F.lit(True).alias("_true"))
@@ -153,6 +156,22 @@ def solve(group: Group, relations: Relations, fixed: Bindings | None = None) ->
     return out
 
 
+def _served(name: str, group: Group, relations: Relations, fixed: Bindings) -> DataFrame:
+    """The solutions of a basic graph pattern at an endpoint, asked for in one query."""
+    from ..sources.endpoint import to_sparql
+
+    if name not in relations.services:
+        raise QueryProblem(f"no endpoint is known for {name}")
+    if any(k != "triple" for k, _ in group.parts):
+        raise QueryProblem("a service answers triple patterns only")
+    atoms = atoms_of(group, fixed)
+    names = sorted({v for a in atoms for v in a.vars})
+    found = relations.services[name].query(to_sparql(atoms, names))
+    if isinstance(found, bool):
+        return relations.spark.range(1).where(F.lit(found)).select(F.lit(True).alias("_true"))
+    return found.select(*names)
+
+
 def answer(query: Query, relations: Relations, fixed: Bindings | None = None) -> DataFrame:
     """SELECT: one column a variable that is not fixed, distinct solutions. ASK: one row with a boolean ``answer``."""
     found = solve(query.where, relations, fixed).drop(*(fixed or {}))

@@ -1,7 +1,7 @@
 """Graph queries: a SPARQL subset as an algebra over triple patterns.
 
 SELECT and ASK over basic graph patterns, with FILTER, OPTIONAL, UNION, MINUS,
-BIND, DISTINCT, ORDER BY, LIMIT and OFFSET.
+BIND, SERVICE, DISTINCT, ORDER BY, LIMIT and OFFSET.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class QueryProblem(ValueError):
 
 @dataclass
 class Group:
-    """Elements in order: ``triple``, ``filter``, ``optional``, ``union``, ``minus``, ``bind``, ``group``."""
+    """Elements in order: ``triple``, ``filter``, ``optional``, ``union``, ``minus``, ``bind``, ``service``, ``group``."""
 
     parts: list[tuple[str, object]] = field(default_factory=list)
 
@@ -145,6 +145,9 @@ class _Parser:
             elif word in ("OPTIONAL", "MINUS"):
                 self.take()
                 out.parts.append((word.lower(), self.group()))
+            elif word == "SERVICE":
+                self.take()
+                out.parts.append(("service", (str(self.term().value), self.group())))
             elif word == "BIND":
                 self.take()
                 self.take("(")

@@ -260,6 +260,22 @@ def test_data_axioms_rules_and_an_endpoint_at_once(spark):
     assert rows(e.relation(ex("s"))) == {(ex("a"), ex("c"))}
 
 
+def test_a_service_within_a_query(spark):
+    asked = []
+
+    def remote(text):
+        asked.append(text)
+        return json.dumps({"head": {"vars": ["y", "z"]}, "results": {"bindings": [{"y": {"type": "uri", "value": E_ + y}, "z": {"type": "literal", "value": z}} for y, z in (("b", "one"), ("c", "two"))]}})
+
+    data = spark.createDataFrame([(ex("a"), ex("p"), ex("b")), (ex("a"), ex("p"), ex("d"))], "s string, p string, o string")
+    e = Engine(spark, services={"<http://far>": Endpoint(spark, remote)}, prefixes={"": E_}).add_triples(data)
+    e.add_rules(f"@prefix : <{E_}>. {{ ?x :p ?y }} => {{ ?x :q ?y }}.")
+    assert rows(e.sparql("SELECT ?x ?z WHERE { ?x :q ?y SERVICE <http://far> { ?y :name ?z } }")) == {(ex("a"), '"one"')}
+    assert len(asked) == 1 and f"?y {ex('name')} ?z" in asked[0]
+    with pytest.raises(QueryProblem):
+        e.sparql("SELECT ?z WHERE { SERVICE <http://other> { ?y :name ?z } }")
+
+
 def test_infix_operators_and_annotation_properties():
     g = Graph()
     has, person = Property(g, ex("has")), Class(g, ex("Person"))

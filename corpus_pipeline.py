@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five operators, each over all that the one before kept.
 
-Language identification drops texts in no learnt language; of each group of near
-duplicates one document stays; documents that hold benchmark passages go; the rest
+Language identification drops texts that have no language (null, or without a
+letter); of each group of near duplicates one document stays; documents that hold benchmark passages go; the rest
 is mixed to target weights by source, which repeats and leaves out documents; and
 the mix is packed into shards, groups of equal texts whole.
 """

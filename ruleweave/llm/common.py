@@ -54,14 +54,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage: what is read later survives a lost executor, and nothing
-    upstream runs again. The files go when the driver's process ends, or by
-    :func:`release`.
+    upstream runs again. The files go when the driver's process ends, by
+    :func:`release`, or by :func:`forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ruleweave/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that :func:`saved` has written; nothing may read them any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._saved_at)
+        _written.remove((df.sparkSession, df._saved_at))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -75,9 +89,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended; the folder is then its owner's to clear
             pass
 
@@ -142,7 +154,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        e, before = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges"), e
+        forget(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         tidy(e.sparkSession)
         if now == last:

@@ -8,7 +8,8 @@ Collisions are counted by prefix and skip merging: a document's postings are put
 in order of their frequency, postings that occur once are skipped, documents left
 with fewer than ``matches`` postings are skipped, two documents that agree in
 ``matches`` of them must meet in the prefixes of length n - matches + 1, and pairs
-whose sizes differ too much are skipped before they are counted.
+whose sizes differ too much are skipped before they are counted. Long lists leave
+pairs that share an earlier list to that list.
 
 No pair is put out in a list, as lists may be very long. First each document is
 compared once with the head of the lists that it is in most, which gives most
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, python_ready, saved
+from .common import components, forget, python_ready, saved
 
 COORDINATES = 64
 MATCHES = 32
@@ -43,11 +44,14 @@ CHUNK = 256
 #: Documents of a list in one side of a block.
 BLOCK = 1024
 #: Documents, and shingles of documents, in one tile.
-TILE = 512
+TILE = 1024
 TILE_SHINGLES = 1_000_000
-#: Pairs whose collisions are counted at once, and pairs up to which sets are compared one by one.
+#: Lists in which a document must meet a head at least, for it to be its home before heads that it meets more often.
+LEAST_MET = 4
+#: Pairs whose collisions are counted at once; pairs up to which sets are compared one by one; lists in which pairs may be counted though an earlier list has them.
 AT_ONCE = 200_000
 FEW = 64
+SHORT = 16
 
 _MULTIPLIERS = np.random.default_rng(20240917).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -198,9 +202,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.T
 
 
 def _pairs_of(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The places (a, b), a < b, of all pairs within groups, some at once."""
+    """The places (a, b), a < b, of all pairs within short groups, some at once."""
     n = int(starts[-1])
     after = np.repeat(starts[1:], np.diff(starts)) - np.arange(n) - 1
+    after[np.repeat(np.diff(starts) > SHORT, np.diff(starts))] = 0
     total = np.cumsum(after)
     low = 0
     while low < n:
@@ -213,21 +218,43 @@ def _pairs_of(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low = high
 
 
+def _incidence(values: np.ndarray, of: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """How many values the documents in ``left`` have in common with those in ``right``; document ``of[i]`` of ``n`` has ``values[i]``."""
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    keep = times[at] > 1  # a value of one document is in no intersection
+    _, at = np.unique(at[keep], return_inverse=True)
+    of = of[keep]
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    wide = int(at[-1]) + 1 if len(at) else 0
+    for low in range(0, wide, 8192):
+        i, j = np.searchsorted(at, [low, low + 8192])
+        m = np.zeros((n, min(8192, wide - low)), np.float32)
+        m[of[i:j], at[i:j] - low] = 1
+        both += m[left] @ m[right].T
+    return both
+
+
 def _collisions(matches: int, percent: int):
     """Rows come by list and block: count how often each two documents collide, and say which tiles hold pairs at or above the threshold.
 
     The rows of a document say all that it was posted under, so a list that two documents
     share gives the number of all lists that they share. Pairs with one label are linked
-    already, and pairs whose sizes differ too much can't be.
+    already, and pairs whose sizes differ too much can't be. In lists of some length, pairs
+    that share a list earlier in their prefixes are left to that list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _groups(batches, 3):
             side, rep, label, tile, n = (rows.column(c).to_numpy() for c in ("side", "rep", "label", "tile", "n_shingles"))
-            across = (rows.column("low").to_numpy() != rows.column("high").to_numpy())
+            across = rows.column("low").to_numpy() != rows.column("high").to_numpy()
             posted = np.frombuffer(b"".join(rows.column("posted").to_pylist()), np.uint8).reshape(len(rows), -1)
-            found = set()
-            for a, b in _pairs_of(starts):
+            before = rows.column("before").combine_chunks()
+            ends, earlier = before.offsets.to_numpy(), before.values.to_numpy()
+            found: set[tuple[int, int, int]] = set()
+
+            def hits(a: np.ndarray, b: np.ndarray) -> None:
                 may = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (~across[a] | (side[a] != side[b]))
                 a, b = a[may], b[may]
                 hit = (posted[a] == posted[b]).sum(axis=1) >= matches
@@ -235,6 +262,21 @@ def _collisions(matches: int, percent: int):
                 low, high = np.minimum(tile[a], tile[b]), np.maximum(tile[a], tile[b])
                 for x in (a, b):
                     found.update(map(tuple, np.unique(np.column_stack([low, high, rep[x]]), axis=0).tolist()))
+
+            sizes = np.diff(starts)
+            for i, j in zip(starts[:-1][sizes > SHORT].tolist(), starts[1:][sizes > SHORT].tolist(), strict=True):
+                here = np.arange(j - i)
+                of = np.repeat(here, np.diff(ends[i : j + 1]))
+                left, right = (np.flatnonzero(side[i:j] == 0), np.flatnonzero(side[i:j] == 1)) if across[i] else (here, here)
+                apart = _incidence(earlier[ends[i] : ends[j]], of, left, right, j - i) == 0
+                if not across[i]:
+                    apart = np.triu(apart, 1)
+                at_once = max(1, AT_ONCE // max(1, len(right)))
+                for low in range(0, len(left), at_once):
+                    x, y = np.nonzero(apart[low : low + at_once])
+                    hits(i + left[low + x], i + right[y])
+            for a, b in _pairs_of(starts):
+                hits(a, b)
             columns = list(zip(*found, strict=True)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "rep"])
 
@@ -256,20 +298,7 @@ def _tile_links(percent: int):
             both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
             hit = 100 * both >= percent * (n[x] + n[y] - both)
         else:
-            _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            of = np.repeat(np.arange(len(docs)), n)
-            keep = times[at] > 1  # a shingle of one document is in no intersection
-            _, at = np.unique(at[keep], return_inverse=True)
-            of = of[keep]
-            order = np.argsort(at, kind="stable")
-            at, of = at[order], of[order]
-            both = np.zeros((len(left), len(right)), np.float32)
-            wide = int(at[-1]) + 1 if len(at) else 0
-            for low in range(0, wide, 8192):  # intersections, by slices of the shingles
-                i, j = np.searchsorted(at, [low, low + 8192])
-                m = np.zeros((len(docs), min(8192, wide - low)), np.float32)
-                m[of[i:j], at[i:j] - low] = 1
-                both += m[left] @ m[right].T
+            both = _incidence(np.concatenate(sets), np.repeat(np.arange(len(docs)), n), left, right, len(docs))
             hit = 100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)
             x, y = np.nonzero(hit & (labels[left][:, None] != labels[right][None, :]))
             x, y, hit = left[x], right[y], slice(None)
@@ -322,17 +351,17 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     prefix = F.transform(F.slice("held", 1, F.size("held") - (matches - 1)), lambda x: x["token"])
     score = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x["df"])
     prefixes = saved(shared.select("rep", prefix.alias("prefix"), score.alias("score")), "prefixes")
-    candidates = prefixes.select("rep").distinct()
+    candidates = saved(prefixes.select("rep"), "candidates")  # once written, Spark knows its size: texts are shuffled only if these ids are too many to be sent
     shingles = docs.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingles(size), "rep long, shingles binary")
     shingles = saved(shingles, "shingles")
 
-    # the head of a list is its document with the fullest lists; the head that a document meets most is its home.
-    # One comparison with it contracts most of a group of near copies, so that lists of one label are done
+    # the head of a list is its document with the fullest lists; of the heads that a document meets several times,
+    # that with the fullest lists is its home, or else the one that it meets most. One comparison with it contracts most of a group of near copies, so that lists of one label are done
     entries = prefixes.select("rep", "score", F.explode("prefix").alias("token"))
     heads = entries.groupBy("token").agg(F.max(F.struct("score", "rep")).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = saved(heads.select("token", F.col("x.rep").alias("head"), F.col("x.score").alias("of")), "heads")
     met = entries.join(heads, "token").groupBy("rep", "head").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of"))
-    home = saved(met.groupBy("rep").agg(F.max(F.struct("n", "of", "head")).alias("x")).select("rep", F.col("x.head").alias("head")), "home")
+    home = saved(met.groupBy("rep").agg(F.max(F.struct(F.least("n", F.lit(LEAST_MET)).alias("enough"), "of", "n", "head")).alias("x")).select("rep", F.col("x.head").alias("head")), "home")
     near = saved(_head_links(home.where("rep != head"), shingles, percent), "links")
 
     # a home's documents are dealt into tiles of a bounded size
@@ -347,13 +376,15 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     members = saved(members, "members")
 
     # lists with more than one label: count collisions, block by block where a list is long
-    entries = prefixes.select("rep", F.explode("prefix").alias("token")).join(members, "rep")
+    places = prefixes.select("rep", "prefix", F.posexplode("prefix").alias("at", "token"))
+    entries = places.select("rep", "token", F.slice("prefix", F.lit(1), F.col("at")).alias("before")).join(members, "rep")
     lists = entries.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     lists = saved(lists.where("x < y").select("token", "blocks"), "lists")
     rows = entries.join(lists, "token").withColumn("part", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "label", "tile", "n_shingles", "posted")
-    rows = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    rows = rows.select("token", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "rep", "label", "tile", "n_shingles", "posted", "before")
+    # by ranges, so that tasks are even though lists are not
+    rows = rows.repartitionByRange("token", "low", "high").sortWithinPartitions("token", "low", "high")
     meets = saved(rows.mapInArrow(_collisions(matches, percent), "a long, b long, rep long").distinct(), "meets")
 
     # the documents with pairs at the threshold, by their tiles: confirm links on full sets
@@ -363,6 +394,7 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     # classes whose sets are equal, and rows that repeat a doc_id, meet at that doc_id
     same = real.join(classes.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u != v")
     final = components(near.unionByName(far).unionByName(same))
+    forget(classes, prefixes, candidates, shingles, heads, home, near, members, lists, meets)  # components are written
     out = sketch.select("doc_id", "n_shingles").join(final, sketch.doc_id == final.node, "left")
     component = F.coalesce("label", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

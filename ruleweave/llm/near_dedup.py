@@ -405,11 +405,13 @@ def near_dedup(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows that repeat a kept doc_id are cut to the one whose text comes first; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs, **parameters)
-    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = saved(kept, "kept")
+    found = saved(near_duplicates(docs, **parameters).select("doc_id", "kept").where("doc_id is not null"), "found")
+    # the fewer ids: those that go
+    gone = saved(found.where("not kept").select("doc_id").distinct(), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    out = rows.join(kept.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("turn = 1")
-    return out.unionByName(rows.where("id is null"), allowMissingColumns=True).select("row.*")
+    out = rows.join(gone, F.col("id") == F.col("doc_id"), "left_anti")
+    if found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("id").orderBy("text"))
+        out = out.where("id is not null").withColumn("turn", turn).where("turn = 1").drop("turn").unionByName(out.where("id is null"))
+    forget(found)
+    return out.select("row.*")

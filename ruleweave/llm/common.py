@@ -38,6 +38,13 @@ def python_ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let fewer rows go to Python at once than Spark's default, unless the session says how many: texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one is made only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)

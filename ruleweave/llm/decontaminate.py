@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, saved
+from .common import python_ready, saved, small_batches
 
 PERCENT_EDITS = 25
 #: Items with fewer words are no evidence and never match.
@@ -44,7 +44,7 @@ EARLY = (2, 3, 4)
 #: Words of an item from which the three samples must be at different words (two, if it has fewer).
 APART = 16
 #: Words of documents that are walked at once.
-_AT_ONCE = 1_000_000
+_AT_ONCE = 500_000
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -286,6 +286,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_E
     """
     spark = docs.sparkSession
     python_ready(spark)
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     schema = "doc_id long, item_id long, item_words int, edits int, end_word int"
     parts: list[DataFrame] = []
@@ -319,6 +320,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT_
     """The rows of ``docs`` that hold no item, in one pass for each block of items, without a join."""
     spark = docs.sparkSession
     python_ready(spark)
+    small_batches(spark)
     rows, shipped = docs.select(F.struct("*").alias("row")), None
     for index in item_blocks(benchmark, percent=percent):
         if shipped is not None:  # more than one block: each is searched and written before the next is held

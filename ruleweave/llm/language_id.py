@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, saved
+from .common import python_ready, saved, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 #: About so many training documents a language are drawn (by a hash of doc_id) to fit the distributions.
@@ -131,14 +131,14 @@ def _edges(symbols: np.ndarray, trie: Pieces) -> Iterator[tuple[int, int, np.nda
 def word_scores(words: list[str], p: np.ndarray, trie: Pieces) -> np.ndarray:
     """log p(word) in each language, the columns of ``p`` (probability by piece and language)."""
     out = np.zeros((len(words), p.shape[1]))
-    ring = trie.longest + 1  # a piece ends so many columns ahead at most
     for symbols, lengths, of in _lengths(words):
         rows, n = symbols.shape
+        ring = min(trie.longest, n) + 1  # a piece ends so many columns ahead at most
         a = np.zeros((ring, rows, p.shape[1]))
         a[0] = 1
         scale, at = np.zeros(rows), 0
 
-        def ended(j: int, a=a, lengths=lengths, scale=scale, of=of) -> None:
+        def ended(j: int, a=a, lengths=lengths, scale=scale, of=of, ring=ring) -> None:
             if len(done := np.flatnonzero(lengths == j)):
                 out[of[done]] = np.log(a[j % ring, done]) + scale[done, None]
 
@@ -248,6 +248,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     python_ready(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
     shipped = _shipped(docs, p)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, forget, python_ready, saved
+from .common import components, forget, python_ready, saved, small_batches
 
 COORDINATES = 64
 MATCHES = 32
@@ -45,7 +45,7 @@ CHUNK = 256
 BLOCK = 1024
 #: Documents, and shingles of documents, in one tile.
 TILE = 1024
-TILE_SHINGLES = 1_000_000
+TILE_SHINGLES = 300_000
 #: Lists in which a document must meet a head at least, for it to be its home before heads that it meets more often.
 LEAST_MET = 4
 #: Pairs whose collisions are counted at once; pairs up to which sets are compared one by one; lists in which pairs may be counted though an earlier list has them.
@@ -228,9 +228,9 @@ def _incidence(values: np.ndarray, of: np.ndarray, left: np.ndarray, right: np.n
     at, of = at[order], of[order]
     both = np.zeros((len(left), len(right)), np.float32)
     wide = int(at[-1]) + 1 if len(at) else 0
-    for low in range(0, wide, 8192):
-        i, j = np.searchsorted(at, [low, low + 8192])
-        m = np.zeros((n, min(8192, wide - low)), np.float32)
+    for low in range(0, wide, 2048):
+        i, j = np.searchsorted(at, [low, low + 2048])
+        m = np.zeros((n, min(2048, wide - low)), np.float32)
         m[of[i:j], at[i:j] - low] = 1
         both += m[left] @ m[right].T
     return both
@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     """
     spark = docs.sparkSession
     python_ready(spark)
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = saved(docs.mapInArrow(_sketches(coordinates, size), "doc_id long, n_shingles long, set_key binary, sig array<int>"), "sketch")
     real = sketch.where("doc_id is not null and set_key is not null")
